@@ -1,0 +1,17 @@
+"""Every query of the engine by name, with the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def queries() -> dict[str, Query]:
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
