@@ -1,8 +1,8 @@
 """Quality rules: an isolation forest on rule statistics.
 
-For each document the statistics that quality rules look at are computed over its whole text: mean
-word length, the shares of upper-case letters, digits, symbols, and marks in words, repetition of
-words and lines, words per line, and more. Every tree isolates the points of a small random sample by splits
+For each document the statistics that quality rules look at are computed over its whole text: the
+shares of upper-case letters, of symbols, of words that a mark follows and of marks that stand
+alone, and the repetition of words, of neighbouring words and of pairs of words. Every tree isolates the points of a small random sample by splits
 at random values of random statistics; a document that is isolated after few splits, on average over
 all trees, is anomalous. The threshold on the score is calibrated on labelled rows: the one with the
 best balanced accuracy among those at which at most `lose` of the good rows are rejected.
@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerweave.llm.common import P, save
-from ledgerweave.llm.textnp import SPACE, WORD, lowered, runs, slices, span_hashes, words
+from ledgerweave.llm.textnp import SPACE, WORD, lowered, slices, words
 
-STATS = ("word_bytes", "upper", "digit", "symbol", "mark_words", "distinct_words", "top_word", "adjacent_same", "bigram_same", "line_words", "line_same", "long_words", "stop_like", "lone_marks")
+STATS = ("upper", "symbol", "mark_words", "lone_marks", "distinct_words", "top_word", "adjacent_same", "bigram_same")
 PRIOR = 30.0
-TYPICAL = dict(zip(STATS, (5.5, 0.03, 0.005, 0.03, 0.12, 0.9, 0.06, 0.0, 0.02, 2.5, 0.0, 0.03, 0.45, 0.01)))
+TYPICAL = dict(zip(STATS, (0.03, 0.03, 0.12, 0.01, 0.9, 0.06, 0.0, 0.02)))
 
 
 def statistics(arr: pa.Array) -> np.ndarray:
@@ -46,7 +46,6 @@ def statistics(arr: pa.Array) -> np.ndarray:
         if not len(h):
             continue
         count = np.bincount(text, minlength=n).astype(np.float64)
-        size = (end - start).astype(np.float64)
 
         def per_text(flags: np.ndarray) -> np.ndarray:
             total = np.zeros(len(data) + 1, np.int64)
@@ -56,16 +55,15 @@ def statistics(arr: pa.Array) -> np.ndarray:
         def level(hits: np.ndarray, base: np.ndarray, stat: str, prior: float = PRIOR) -> np.ndarray:
             return (hits + prior * TYPICAL[stat]) / (base + prior)
 
-        letters, space = per_text(WORD[data]), per_text(SPACE[data] | (data == 10))
+        blank = SPACE[data] | (data == 10)
+        letters, space = per_text(WORD[data]), per_text(blank)
         whole = np.diff(offs).astype(np.float64)
         symbols = np.maximum(whole - letters - space, 0)
-        cols = {"word_bytes": level(np.bincount(text, size, n), count, "word_bytes")}
-        cols["upper"] = level(per_text((low != data)), letters, "upper", PRIOR * 5)
-        cols["digit"] = level(per_text((data >= 48) & (data < 58)), letters, "digit", PRIOR * 5)
+        cols = {"upper": level(per_text((low != data)), letters, "upper", PRIOR * 5)}
         cols["symbol"] = level(symbols, whole, "symbol", PRIOR * 5)
         # words that a symbol follows
         after = np.minimum(end, len(data) - 1)
-        marked = (end < offs[text + 1]) & ~WORD[data[after]] & ~SPACE[data[after]] & (data[after] != 10)
+        marked = (end < offs[text + 1]) & ~WORD[data[after]] & ~blank[after]
         cols["mark_words"] = level(np.bincount(text, marked, n), count, "mark_words")
         order = np.lexsort((h, text))
         hs, ts = h[order], text[order]
@@ -85,18 +83,6 @@ def statistics(arr: pa.Array) -> np.ndarray:
         two, t2 = two[order], t2[order]
         again = np.r_[False, (two[1:] == two[:-1]) & (t2[1:] == t2[:-1])] if len(two) else np.zeros(0, bool)
         cols["bigram_same"] = level(np.bincount(t2, again, n), count, "bigram_same")
-        a, b = runs(data != 10, offs)
-        lt = np.searchsorted(offs, a, "right") - 1
-        lines = np.bincount(lt, minlength=n).astype(np.float64)
-        cols["line_words"] = np.log1p(level(count, lines, "line_words", 1.0))
-        lh = span_hashes(data, a, b)
-        order = np.lexsort((lh, lt))
-        lh, lt = lh[order], lt[order]
-        again = np.r_[False, (lh[1:] == lh[:-1]) & (lt[1:] == lt[:-1])] if len(lh) else np.zeros(0, bool)
-        cols["line_same"] = level(np.bincount(lt, again, n), lines, "line_same", 3.0)
-        cols["long_words"] = level(np.bincount(text, size > 14, n), count, "long_words")
-        cols["stop_like"] = level(np.bincount(text, size <= 3, n), count, "stop_like")
-        blank = SPACE[data] | (data == 10)
         lone = np.zeros(len(data), bool)
         lone[1:-1] = ~blank[1:-1] & ~WORD[data[1:-1]] & blank[:-2] & blank[2:]
         cols["lone_marks"] = level(per_text(lone), count, "lone_marks")
@@ -177,7 +163,7 @@ def calibrate(score: np.ndarray, quality: np.ndarray, lose: float) -> float:
     return float(cuts[fits[np.argmax((caught - lost)[fits])]])
 
 
-def fit(spark: SparkSession, stats: DataFrame, labels: DataFrame, *, trees: int = 200, per_tree: int = 256, pool: int = 16384, lose: float = 0.005, seed: int = 5) -> Forest:
+def fit(spark: SparkSession, stats: DataFrame, labels: DataFrame, *, trees: int = 200, per_tree: int = 256, pool: int = 16384, lose: float = 0.002, seed: int = 5) -> Forest:
     """stats: (doc_id, th, s), saved. `pool` rows of least hash serve all samples."""
     picked = stats.where("not isnan(s[0])").orderBy(F.xxhash64(F.lit(seed), "doc_id", "th"), "doc_id").limit(pool).select("s").toPandas()["s"]
     sample = np.stack(picked.to_list()).astype(np.float32) if len(picked) else np.zeros((0, len(STATS)), np.float32)
