@@ -67,7 +67,7 @@ class SuffixArray:
 
     def _bound(self, lo: np.ndarray, hi: np.ndarray, ahead: int, want: np.ndarray, after: bool) -> np.ndarray:
         lo, hi, n = lo.copy(), hi.copy(), len(self.sa)
-        todo = np.arange(len(lo))
+        todo = np.flatnonzero(lo < hi)
         while len(todo):
             mid = (lo[todo] + hi[todo]) >> 1
             have = self.code[np.minimum(self.sa[mid] + ahead, n)]
