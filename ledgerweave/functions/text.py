@@ -14,7 +14,7 @@ def grouped(n: Column) -> Column:
 
 
 def currency(v: Column) -> Column:
-    return F.when(v >= 1000, F.concat(F.lit("$"), grouped(F.round(v)))).when(v >= 100, F.concat(F.lit("$"), F.format_number(v, 0))).otherwise(F.concat(F.lit("$"), F.format_number(v, 2)))
+    return F.when(v >= 1000, F.concat(F.lit("$"), grouped(F.round(v)))).when(v >= 100, F.concat(F.lit("$"), F.replace(F.format_number(v, 0), F.lit(","), F.lit("")))).otherwise(F.concat(F.lit("$"), F.format_number(v, 2)))
 
 
 def ratio_label(n: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ledgerweave.functions.models import TIERS, UNIT, input_price, read_price, tier, write_price
@@ -10,7 +10,8 @@ from ledgerweave.functions.text import percent, rounded_ratio
 from ledgerweave.functions.time import hour_label, short_date, weekday
 from ledgerweave.operators.entries import TOKENS
 
-WHOLE = Window.partitionBy()
+def whole() -> WindowSpec:
+    return Window.partitionBy()
 
 
 def dollars(units: Column) -> Column:
@@ -83,7 +84,7 @@ def cache_savings(daily_models: DataFrame) -> DataFrame:
 
 def recent_split(daily: DataFrame) -> DataFrame:
     """Days, with `recent` for the last seven rows."""
-    return daily.withColumns({"recent": F.row_number().over(Window.orderBy(F.desc("dt"))) <= 7, "days": F.count(F.lit(1)).over(WHOLE)})
+    return daily.withColumns({"recent": F.row_number().over(Window.orderBy(F.desc("dt"))) <= 7, "days": F.count(F.lit(1)).over(whole())})
 
 
 def cache_trend(daily: DataFrame) -> DataFrame:
@@ -138,7 +139,7 @@ def break_reasons(totals: DataFrame) -> DataFrame:
 def inflection_frames(daily: DataFrame) -> DataFrame:
     """Each day with output and four such days before and from it on, the ratios of the (up to) seven before and after,
     and the multiplier between them."""
-    every = F.count(F.lit(1)).over(WHOLE)
+    every = F.count(F.lit(1)).over(whole())
     active = daily.withColumn("_days", every).where("output_tokens > 0").withColumn("_active", every)
     order = Window.orderBy("dt")
     before, after = order.rowsBetween(-7, -1), order.rowsBetween(0, 6)
@@ -170,8 +171,8 @@ def inflections(daily: DataFrame) -> DataFrame:
 
 def cost_stats(daily: DataFrame) -> DataFrame:
     """Each day that cost something with the mean and deviation of all such days; nothing if there are fewer than three."""
-    days = daily.withColumn("_days", F.count(F.lit(1)).over(WHOLE)).withColumn("usd", dollars(F.col("cost"))).where("usd > 0.01")
-    days = days.withColumns({"_n": F.count(F.lit(1)).over(WHOLE), "mean": F.avg("usd").over(WHOLE), "std_dev": F.stddev_pop("usd").over(WHOLE)})
+    days = daily.withColumn("_days", F.count(F.lit(1)).over(whole())).withColumn("usd", dollars(F.col("cost"))).where("usd > 0.01")
+    days = days.withColumns({"_n": F.count(F.lit(1)).over(whole()), "mean": F.avg("usd").over(whole()), "std_dev": F.stddev_pop("usd").over(whole())})
     return days.where("_days >= 3 and _n >= 3").withColumn("z", F.when(F.col("std_dev") > 0, F.try_divide(F.col("usd") - F.col("mean"), F.col("std_dev"))).otherwise(0.0))
 
 
@@ -244,7 +245,7 @@ def busiest_hour(hours: DataFrame) -> DataFrame:
 
 def peak_hours(hours: DataFrame, keep: int = 3) -> DataFrame:
     """Of equal hours the earliest comes first."""
-    shares = hours.withColumns({"share_pct": percent(F.col("n"), F.sum("n").over(WHOLE)), "rank": F.row_number().over(Window.orderBy(F.desc("n"), "hour")).cast("long")})
+    shares = hours.withColumns({"share_pct": percent(F.col("n"), F.sum("n").over(whole())), "rank": F.row_number().over(Window.orderBy(F.desc("n"), "hour")).cast("long")})
     return shares.where(F.col("rank") <= keep).select("rank", "hour", hour_label(F.col("hour")).alias("label"), "n", "share_pct")
 
 
@@ -324,15 +325,15 @@ def top_tool(tools: DataFrame) -> DataFrame:
 
 def sparkline_buckets(daily: DataFrame, width: int = 12) -> DataFrame:
     """(bucket, mean, level): means of up to `width` runs of days, and their level from 0 to 7 relative to the greatest."""
-    n = F.count(F.lit(1)).over(WHOLE)
+    n = F.count(F.lit(1)).over(whole())
     rows = daily.withColumns({"_i": F.row_number().over(Window.orderBy("dt")) - 1, "_n": n})
     # bucket b covers the rows floor(b * n / width) .. floor((b + 1) * n / width) - 1
     bucket = F.when(F.col("_n") <= width, F.col("_i")).otherwise(F.floor(((F.col("_i") + 1) * width - 1) / F.col("_n")))
     means = rows.groupBy(bucket.cast("long").alias("bucket")).agg((F.sum("cost") / F.count(F.lit(1)) / UNIT).alias("mean"))
-    top = F.max("mean").over(WHOLE)
+    top = F.max("mean").over(whole())
     return means.withColumn("level", F.when(top > 0, F.round(F.try_divide(F.col("mean"), top) * 7)).otherwise(0).cast("long"))
 
 
 def shares(df: DataFrame, value: str) -> DataFrame:
     """Each row's share of the total and of the greatest, in per cent."""
-    return df.withColumns({"share_of_total": percent(F.col(value), F.sum(value).over(WHOLE)), "share_of_max": F.least(percent(F.col(value), F.max(value).over(WHOLE)), F.lit(100))})
+    return df.withColumns({"share_of_total": percent(F.col(value), F.sum(value).over(whole())), "share_of_max": F.least(percent(F.col(value), F.max(value).over(whole())), F.lit(100))})

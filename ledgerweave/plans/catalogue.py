@@ -308,7 +308,7 @@ def prompt_ratio(spark, d):
 
 @query("prompts_first5", "SELECT conv_id, n, turn, text FROM (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role = 'user' AND trim(text) <> '') WHERE n <= 5", plain=True)
 def prompts_first5(spark, d):
-    rows = spark.read.parquet(f"{d}/conversations.parquet").select(C("conv_id").alias("file"), C("turn").alias("ord"), F.when(C("role") == "user", "user").otherwise("other").alias("type"), F.lit(False).alias("is_tool_result"), F.lit(False).alias("is_sidechain"), "text", C("turn").alias("ts"), F.lit(None).cast("string").alias("entrypoint"))
+    rows = spark.read.parquet(f"{d}/conversations.parquet").where("role = 'user'").select(C("conv_id").alias("file"), C("turn").alias("ord"), C("role").alias("type"), F.lit(False).alias("is_tool_result"), F.lit(False).alias("is_sidechain"), "text", C("turn").alias("ts"), F.lit(None).cast("string").alias("entrypoint"))
     return se.prompts(rows).select(C("file").alias("conv_id"), "n", C("ts").alias("turn"), "text")
 
 
