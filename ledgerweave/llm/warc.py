@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from ledgerweave.llm.common import shared_dir
 
 VERSION = re.compile(rb"WARC/(?:0\.1[78]|1\.[01])\r\n")
+FIELD = re.compile(rb"[!#$%&'*+.^_`|~0-9A-Za-z-]+:[^\x00-\x08\x0a-\x1f\x7f]*")
 MAGIC = b"\x1f\x8b\x08"
 WINDOW = 4 << 20
 RESULT = "file string, kind string, offset long, length long, reason string, type string, uri string, headers map<string,string>, payload binary"
@@ -107,10 +108,13 @@ def header(data: bytes, at: int) -> tuple[dict[str, str], int]:
         raise Bad("header without end")
     fields: dict[str, str] = {}
     for line in data[at:end].split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
-        if not colon or not name.strip():
+        if not FIELD.fullmatch(line):
             raise Bad("malformed header line")
-        fields[name.strip().decode("utf-8", "replace")] = value.strip().decode("utf-8", "replace")
+        try:
+            name, _, value = line.decode().partition(":")
+        except UnicodeDecodeError:
+            raise Bad("malformed header line") from None
+        fields[name] = value.strip()
     low = {k.lower(): v for k, v in fields.items()}
     if not low.get("content-length", "").isdigit() or "warc-type" not in low:
         raise Bad("Content-Length or WARC-Type missing")
