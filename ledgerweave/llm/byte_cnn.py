@@ -74,6 +74,13 @@ class ByteCnn:
                 else:
                     out[a:b] = np.maximum.reduceat(response, cuts, axis=0)[::2]
             a = b
+        # a chunk shorter than the filters goes on with zero bytes, not with its neighbour
+        for i in np.flatnonzero(length < width):
+            piece = np.zeros(width, np.int64)
+            piece[: length[i]] = data[start[i] : start[i] + length[i]]
+            out[i] = self.filters[np.arange(width), piece].sum(0)
+            if want_place:
+                place[i] = start[i]
         out += self.bias
         np.maximum(out, 0, out=out)
         return (out, place) if want_place else out
@@ -207,7 +214,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, rows_per_class: int = 1500,
     return train(texts, quality, seed=seed, **more)
 
 
-def score(documents: DataFrame, net: ByteCnn | None, column: str = "probability") -> DataFrame:
+def score(documents: DataFrame, net: ByteCnn | None, column: str = P + "probability") -> DataFrame:
     """All columns of documents, and the probability that each is of good quality."""
     if net is None:
         return documents.withColumn(column, F.lit(1.0))
@@ -224,4 +231,4 @@ def score(documents: DataFrame, net: ByteCnn | None, column: str = "probability"
 def keep_good(spark: SparkSession, documents: DataFrame, labels: DataFrame, **more) -> DataFrame:
     """The rows of documents that the classifier doesn't reject, with `__lw_probability`."""
     net = fit(documents, labels, **more)
-    return score(documents, net, P + "probability").where(F.col(P + "probability") >= (net.threshold if net else 0.0))
+    return score(documents, net).where(F.col(P + "probability") >= (net.threshold if net else 0.0))
