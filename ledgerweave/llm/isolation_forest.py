@@ -165,13 +165,17 @@ def calibrate(score: np.ndarray, quality: np.ndarray, lose: float) -> float:
 
 def fit(spark: SparkSession, stats: DataFrame, labels: DataFrame, *, trees: int = 200, per_tree: int = 256, pool: int = 16384, lose: float = 0.002, seed: int = 5) -> Forest:
     """stats: (doc_id, th, s), saved. `pool` rows of least hash serve all samples."""
-    picked = stats.where("not isnan(s[0])").orderBy(F.xxhash64(F.lit(seed), "doc_id", "th"), "doc_id").limit(pool).select("s").toPandas()["s"]
+    known = stats.where("not isnan(s[0])")
+    rank = F.xxhash64(F.lit(seed), "doc_id", "th")
+    # hashes are spread evenly: below this one lie about twice as many rows as are wanted, so no task sends more than a few
+    most = min(2**63 - 1, int(-(2**63) + 2**64 * (2 * pool + 64) / max(1, known.count())))
+    picked = known.where(rank <= F.lit(most)).orderBy(rank, "doc_id").limit(pool).select("s").toPandas()["s"]
     sample = np.stack(picked.to_list()).astype(np.float32) if len(picked) else np.zeros((0, len(STATS)), np.float32)
     if not len(sample):
         return Forest(np.full((1, 1), -1), np.zeros((1, 1), np.float32), np.zeros((1, 1)), 1.0, 1.0 - 1e-12)
     forest = grow(sample, trees, per_tree, seed)
     own = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("quality").alias("q2")).where("q = q2").select("doc_id", "q")
-    marked = scored(stats.where("not isnan(s[0])").join(own, "doc_id").select("q", "s"), forest).groupBy("q", F.round("score", 4).alias("score")).count().toPandas()
+    marked = scored(known.join(own, "doc_id").select("q", "s"), forest).groupBy("q", F.round("score", 4).alias("score")).count().toPandas()
     forest.threshold = calibrate(np.repeat(marked["score"].to_numpy(), marked["count"]), np.repeat(marked["q"].to_numpy(), marked["count"]), lose)
     return forest
 
