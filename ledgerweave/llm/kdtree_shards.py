@@ -90,7 +90,6 @@ def build(spark: SparkSession, docs: DataFrame, *, target_bytes: int) -> KdTree:
     """The tree; what reaches the driver is one row for each leaf."""
     thin = save(spark, docs.select(*(x.alias(c) for c, x in coordinates().items()), weight().alias("w")).groupBy(*DIMS).agg(F.sum("w").alias("w")), "points")
     tree = KdTree()
-    frozen: set[int] = set()
 
     def located() -> DataFrame:
         arrays = tree.arrays()
@@ -148,8 +147,8 @@ def assign(docs: DataFrame, tree: KdTree, column: str = "shard") -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, *, target_bytes: int = 16 << 20, column: str = "shard") -> DataFrame:
-    """All columns of docs and the shard of each row, the rows of a shard together and in the order of doc_id.
+    """All columns of docs and the shard of each row, each shard in a partition of its own and in the order of doc_id.
     A column of docs that has the name of the new one is replaced."""
     tree = build(spark, docs, target_bytes=target_bytes)
     placed = assign(docs.drop(column), tree, column)
-    return placed.repartition(len(tree.leaves()), F.col(column)).sortWithinPartitions(column, "doc_id")
+    return placed.repartitionById(len(tree.leaves()), F.col(column)).sortWithinPartitions("doc_id")
