@@ -23,13 +23,12 @@ through; helper columns start with `__lw_`.
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerweave.llm.common import P, save
 
-BUCKET_ROWS = 2048
+BUCKET_ROWS, BROADCAST_SOURCES = 2048, 100_000
 NULL_SOURCE = "\0null"
 
 
@@ -107,8 +106,13 @@ def keyed_hash(docs: DataFrame, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), F.col("doc_id"), F.xxhash64("text"), F.col("source"))
 
 
-def mix(spark: SparkSession, docs: DataFrame, *, weights: dict[str, float] | None = None, alpha: float = 0.5, rare: float = 0.001, block: int = 32, shard_rows: int = 16384, seed: int = 17) -> DataFrame:
+def mix(spark: SparkSession, docs: DataFrame, **more) -> DataFrame:
     """docs, mixed: all of its columns, with `__lw_shard` and `__lw_place`, the shard and a row's sort key within it."""
+    return dealt(spark, docs, **more)[0]
+
+
+def dealt(spark: SparkSession, docs: DataFrame, *, weights: dict[str, float] | None = None, alpha: float = 0.5, rare: float = 0.001, block: int = 32, shard_rows: int = 16384, seed: int = 17) -> tuple[DataFrame, int]:
+    """The mixture, see mix(), and its number of shards."""
     source = F.coalesce(F.col("source").cast("string"), F.lit(NULL_SOURCE))
     counts = {r[0]: r[1] for r in docs.select(source.alias("s")).groupBy("s").count().toLocalIterator()}
     quota = quotas(counts, weights, alpha=alpha, rare=rare)
@@ -116,10 +120,12 @@ def mix(spark: SparkSession, docs: DataFrame, *, weights: dict[str, float] | Non
     total = sum(quota.values())
     empty = docs.withColumns({P + "shard": F.lit(0), P + "place": F.lit(0).cast("long")})
     if not total:
-        return empty.where("false")
+        return empty.where("false"), 1
     blocks = [-(-quota[s] // block) for s in names]
     tree = SplitTree(blocks, -(-total // shard_rows), seed)
-    info = F.broadcast(spark.createDataFrame([(s, i, quota[s], max(1, counts[s] // BUCKET_ROWS)) for i, s in enumerate(names)], f"{P}s string, {P}i int, {P}quota long, {P}buckets long"))
+    info = spark.createDataFrame([(s, i, quota[s], max(1, counts[s] // BUCKET_ROWS)) for i, s in enumerate(names)], f"{P}s string, {P}i int, {P}quota long, {P}buckets long")
+    if len(names) <= BROADCAST_SOURCES:
+        info = F.broadcast(info)
     keyed = docs.withColumns({P + "s": source, P + "h": keyed_hash(docs, seed)}).join(info, P + "s")
     # the permutation's leading bits choose a bucket of bounded size; only buckets' counts are summed along a source
     keyed = keyed.withColumn(P + "bucket", F.expr(f"shiftrightunsigned({P}h, 32) * {P}buckets div 4294967296"))
@@ -136,15 +142,15 @@ def mix(spark: SparkSession, docs: DataFrame, *, weights: dict[str, float] | Non
         return pd.Series(tree.shard_of(i.to_numpy(np.int64), r.to_numpy(np.int64) // block))
 
     placed = ranked.withColumn(P + "shard", shard_of(F.col(P + "i").cast("long"), F.col(P + "r").cast("long"))).withColumn(P + "place", F.xxhash64(F.lit(seed + 1), P + "h", P + "r"))
-    return placed.select(*docs.columns, P + "shard", P + "place")
+    return placed.select(*docs.columns, P + "shard", P + "place"), tree.shards
 
 
-def shuffled(mixed: DataFrame) -> DataFrame:
-    """Every shard's rows together, in their places."""
-    return mixed.repartition(P + "shard").sortWithinPartitions(P + "shard", P + "place")
+def shuffled(mixed: DataFrame, shards: int) -> DataFrame:
+    """Every shard's rows in a partition of its own, in their places."""
+    return mixed.repartitionById(shards, F.col(P + "shard")).sortWithinPartitions(P + "place")
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, **more) -> DataFrame:
     """docs, mixed and shuffled: the columns of docs only."""
     columns = docs.columns
-    return shuffled(mix(spark, docs, **more)).select(*columns)
+    return shuffled(*dealt(spark, docs, **more)).select(*columns)

@@ -42,8 +42,7 @@ def op6_simhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixture: all columns of its documents, their shards and their places there."""
-    mixed = mixing.mix(spark, table(spark, sf_dir, "documents"))
-    return mixing.shuffled(mixed).withColumnsRenamed({P + "shard": "shard", P + "place": "place"})
+    return mixing.shuffled(*mixing.dealt(spark, table(spark, sf_dir, "documents"))).withColumnsRenamed({P + "shard": "shard", P + "place": "place"})
 
 
 def op8_kdtree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
