@@ -1,4 +1,4 @@
-"""Analyses of the roll-ups, each a DataFrame. Windows without partitions run over days, hours, projects or sessions' ranks only."""
+"""Analyses of the roll-ups, each a DataFrame. Windows without partitions run over days, hours and projects only."""
 
 from __future__ import annotations
 
@@ -28,11 +28,12 @@ def median(values: Column) -> Column:
     return F.coalesce(F.percentile(values, 0.5), F.lit(0.0))
 
 
-def index_percentile(values: Column, p: float) -> Column:
-    """Element floor(n * p) of the n sorted values, counted from 0."""
-    ordered = F.sort_array(F.collect_list(values))
-    at = F.least(F.floor(F.size(ordered) * F.lit(p)), F.size(ordered) - 1).cast("int")
-    return F.coalesce(F.get(ordered, at), F.lit(0))
+def index_percentiles(df: DataFrame, value: str, **p: float) -> DataFrame:
+    """One row: for each p element floor(n * p) of the n sorted values, counted from 0; 0 of nothing. The values are whole
+    minutes, so that only the counts of distinct ones are brought together."""
+    counts = df.groupBy(F.col(value).alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    upto = counts.withColumns({"upto": F.sum("n").over(Window.orderBy("x")), "all": F.sum("n").over(whole())})
+    return upto.agg(*(F.coalesce(F.min(F.when(F.col("upto") > F.least(F.floor(F.col("all") * F.lit(q)), F.col("all") - 1), F.col("x"))), F.lit(0)).alias(name) for name, q in p.items()))
 
 
 # cost
@@ -53,7 +54,7 @@ def cost_summary(daily: DataFrame) -> DataFrame:
 
 def session_cost_stats(sessions: DataFrame) -> DataFrame:
     """Ties of the longest session go to the last one in cost order."""
-    longest = F.struct("duration_minutes", "rank")
+    longest = F.struct("duration_minutes", "order")
     return sessions.agg(
         F.count(F.lit(1)).alias("total"),
         F.coalesce(F.sum("duration_minutes"), F.lit(0)).alias("total_minutes"),
@@ -211,14 +212,12 @@ def duration_stats(sessions: DataFrame) -> DataFrame:
     own = sessions.agg(
         n.alias("total_sessions"),
         F.coalesce(F.sum(d), F.lit(0)).alias("total_minutes"),
-        index_percentile(d, 0.5).alias("median_duration"),
-        index_percentile(d, 0.9).alias("p90_duration"),
         F.coalesce(F.max(d), F.lit(0)).alias("max_duration"),
-        F.max_by("project_name", F.struct(d, -F.col("rank"))).alias("longest_session_project"),
+        F.min_by("project_name", F.struct(-d, F.col("order"))).alias("longest_session_project"),
         F.count_if(d > 60).alias("long_sessions"),
         F.coalesce(F.sum("tool_message_count"), F.lit(0)).alias("_tools"),
     )
-    return own.select(
+    return own.crossJoin(index_percentiles(sessions, "duration_minutes", median_duration=0.5, p90_duration=0.9)).select(
         "total_sessions",
         "total_minutes",
         F.coalesce(F.expr("total_minutes div nullif(total_sessions, 0)"), F.lit(0)).alias("avg_duration"),

@@ -12,9 +12,10 @@ TOKENS = ("input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_
 
 
 def first_by(df: DataFrame, keys: list[str], order: str = "ord") -> DataFrame:
-    """The first row of each key in scan order; rows whose last key is null all stay."""
-    numbered = df.withColumn("_first", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
-    return numbered.where((F.col("_first") == 1) | F.col(keys[-1]).isNull()).drop("_first")
+    """The first row of each key in scan order; rows whose last key is null all stay, spread over the tasks by their order."""
+    apart = F.when(F.col(keys[-1]).isNull(), F.col(order))
+    numbered = df.withColumn("_first", F.row_number().over(Window.partitionBy(*keys, apart).orderBy(order)))
+    return numbered.where("_first = 1").drop("_first")
 
 
 def entries(activity: DataFrame, year: int | None = None) -> DataFrame:

@@ -81,14 +81,14 @@ def files(activity: DataFrame) -> DataFrame:
 
 
 def sessions(activity: DataFrame) -> DataFrame:
-    """Top-level sessions with their rank: by recorded cost, then in scan order."""
+    """Top-level sessions; the least `order` comes first: by recorded cost, then in scan order."""
     own = files(activity).where("role = 'session'")
-    return own.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("cost_units"), "file_ord")).cast("long"))
+    return own.withColumn("order", F.struct((-F.col("cost_units")).alias("c"), "file_ord"))
 
 
 def subagents(activity: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Subagents of sessions that count, with the parent's session id, ranked by tokens; ties in the parents' order."""
+    """Subagents of sessions that count, with the parent's session id; `order` goes by tokens, ties in the parents' order."""
     own = files(activity).where("role = 'subagent'").drop("role")
-    parent = sessions.select(F.col("file").alias("parent_file"), F.col("session_id").alias("parent_session_id"), F.col("rank").alias("parent_rank"))
+    parent = sessions.select(F.col("file").alias("parent_file"), F.col("session_id").alias("parent_session_id"), F.col("order").alias("parent_order"))
     joined = own.join(parent, "parent_file")
-    return joined.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("total_tokens"), "parent_rank", "file_ord")).cast("long"))
+    return joined.withColumn("order", F.struct((-F.col("total_tokens")).alias("t"), "parent_order", "file_ord"))

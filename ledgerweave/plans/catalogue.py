@@ -12,8 +12,9 @@ from ledgerweave.functions import text as ft
 from ledgerweave.functions import time as fti
 from ledgerweave.operators import analytics as an
 from ledgerweave.operators import entries as en
-from ledgerweave.operators import rules, story
+from ledgerweave.operators import story
 from ledgerweave.operators import sessions as se
+from ledgerweave.operators.ranking import global_rank
 from ledgerweave.plans import report
 from ledgerweave.sources import logs, tables
 
@@ -259,7 +260,7 @@ def top_project(spark, d):
 
 @query("session_summary", f"SELECT rank, session_id, project_hash, project_path, project_name, duration_minutes, {TOKENS}, total_tokens, {USD.format('cost_units')} AS cost_usd, prompt_count, tool_message_count, first_prompt FROM ses")
 def session_summary(spark, d):
-    return _ses(spark, d).select("rank", "session_id", "project_hash", "project_path", "project_name", "duration_minutes", *en.TOKENS, "total_tokens", usd(C("cost_units")).alias("cost_usd"), "prompt_count", "tool_message_count", "first_prompt")
+    return global_rank(_ses(spark, d), "order").select("rank", "session_id", "project_hash", "project_path", "project_name", "duration_minutes", *en.TOKENS, "total_tokens", usd(C("cost_units")).alias("cost_usd"), "prompt_count", "tool_message_count", "first_prompt")
 
 
 @query("session_model_totals", f"SELECT file, model, {SUMS} FROM said GROUP BY file, model")
@@ -287,13 +288,13 @@ def session_subagents(spark, d):
 def costly_subagents_top20(spark, d):
     a = _act(spark, d)
     every = se.subagents(a, se.sessions(a))
-    whole = Window.partitionBy()
-    return every.select("rank", "session_id", "total_tokens", F.count(F.lit(1)).over(whole).alias("all_subagents"), F.sum("total_tokens").over(whole).alias("all_tokens")).where("rank <= 20")
+    top = every.orderBy("order").limit(20).withColumn("rank", F.row_number().over(Window.orderBy("order")).cast("long"))
+    return top.select("rank", "session_id", "total_tokens").crossJoin(every.agg(F.count(F.lit(1)).alias("all_subagents"), F.sum("total_tokens").alias("all_tokens")))
 
 
 @query("biggest_session_by_tokens", "SELECT arg_min(session_id, (-total_tokens, rank)) AS session_id, max(total_tokens) AS total_tokens FROM ses")
 def biggest_session_by_tokens(spark, d):
-    return _ses(spark, d).agg(F.min_by("session_id", F.struct(-C("total_tokens"), "rank")).alias("session_id"), F.max("total_tokens").alias("total_tokens"))
+    return _ses(spark, d).agg(F.min_by("session_id", F.struct(-C("total_tokens"), "order")).alias("session_id"), F.max("total_tokens").alias("total_tokens"))
 
 
 @query("prompt_counts", "SELECT file, prompt_count, tool_message_count FROM fl WHERE total_tokens > 0")
@@ -315,8 +316,8 @@ def prompts_first5(spark, d):
 @query("prompt_archive", "SELECT project_hash, n, text FROM (SELECT s.project_hash, 'do ' || p.ord AS text, row_number() OVER (PARTITION BY s.project_hash ORDER BY s.rank, p.k) AS n FROM ses s JOIN (SELECT file, ord, row_number() OVER (PARTITION BY file ORDER BY ord) AS k FROM act WHERE type = 'user' AND NOT is_tool_result AND NOT is_sidechain) p USING (file) WHERE p.k <= 5) WHERE n <= 5")
 def prompt_archive(spark, d):
     a = _act(spark, d)
-    own = se.sessions(a).select("file", "project_hash", "rank").join(se.prompts(a), "file")
-    return own.withColumn("k", F.row_number().over(Window.partitionBy("project_hash").orderBy("rank", "n")).cast("long")).where("k <= 5").select("project_hash", C("k").alias("n"), "text")
+    own = se.sessions(a).select("file", "project_hash", "order").join(se.prompts(a), "file")
+    return own.withColumn("k", F.row_number().over(Window.partitionBy("project_hash").orderBy("order", "n")).cast("long")).where("k <= 5").select("project_hash", C("k").alias("n"), "text")
 
 
 @query("session_duration_stats", "SELECT * FROM du")

@@ -19,36 +19,41 @@ TOKEN_NAMES = dict(zip(en.TOKENS, ("inputTokens", "outputTokens", "cacheCreation
 
 
 class Relations:
-    """Everything the report derives from one activity relation. Entries and files are used many times and kept."""
+    """Everything the report derives from one activity relation. What is used more than once is kept."""
 
     def __init__(self, activity: DataFrame, year: int | None = None):
-        self.year = year
-        self.entries = en.entries(activity, year).cache()
-        self.daily_models = en.daily_model(self.entries).cache()
-        self.daily = en.daily(self.entries).cache()
+        self.year, self.kept = year, []
+        keep = self._keep
+        self.entries = keep(en.entries(activity, year))
+        self.daily_models = keep(en.daily_model(self.entries))
+        self.daily = keep(en.daily(self.entries))
         rows = se.in_year(activity, year)
-        self.sessions = se.sessions(rows).cache()
-        self.subagents = se.subagents(rows, self.sessions).cache()
+        self.sessions = keep(se.sessions(rows))
+        self.subagents = keep(se.subagents(rows, self.sessions))
         self.prompts = se.prompts(rows)
         self.model_totals = se.model_totals(rows)
-        self.projects = en.projects(self.entries).cache()
-        self.ranked = en.ranked_projects(self.projects)
-        self.model_costs = en.model_costs(self.daily_models)
-        self.hours = en.hours(self.entries)
-        self.tools = en.tool_counts(self.entries)
-        self.anomalies = an.anomalies(self.daily)
-        self.inflections = an.inflections(self.daily)
-        self.cost = an.cost_summary(self.daily)
-        self.grade = an.cache_grade(self.daily)
-        self.savings = an.cache_savings(self.daily_models)
-        self.durations = an.duration_stats(self.sessions)
-        self.overlap = an.peak_overlap(self.hours)
-        self.routing = an.model_routing(self.model_costs, self.entries)
+        self.projects = keep(en.projects(self.entries))
+        self.ranked = keep(en.ranked_projects(self.projects))
+        self.model_costs = keep(en.model_costs(self.daily_models))
+        self.hours = keep(en.hours(self.entries))
+        self.tools = keep(en.tool_counts(self.entries))
+        self.anomalies = keep(an.anomalies(self.daily))
+        self.inflections = keep(an.inflections(self.daily))
+        self.cost = keep(an.cost_summary(self.daily))
+        self.grade = keep(an.cache_grade(self.daily))
+        self.savings = keep(an.cache_savings(self.daily_models))
+        self.durations = keep(an.duration_stats(self.sessions))
+        self.overlap = keep(an.peak_overlap(self.hours))
+        self.routing = keep(an.model_routing(self.model_costs, self.entries))
         self.facts = rules.facts(self.cost, self.grade, self.savings, self.anomalies, self.inflections, self.durations, self.overlap, self.routing, self.projects, self.ranked)
-        self.recommendations = rules.recommendations(self.facts)
+        self.recommendations = keep(rules.recommendations(self.facts))
+
+    def _keep(self, df: DataFrame) -> DataFrame:
+        self.kept.append(df.cache())
+        return self.kept[-1]
 
     def release(self) -> None:
-        for df in (self.entries, self.daily_models, self.daily, self.sessions, self.subagents, self.projects):
+        for df in self.kept:
             df.unpersist()
 
 
@@ -85,9 +90,9 @@ def story_facts(r: Relations) -> DataFrame:
         one(an.favorite_weekday(r.daily), "favorite_weekday", "label", "n"),
         one(an.top_tool(r.tools), "top_tool", "name", "n"),
         one(r.ranked.where("rank = 1"), "top_project", "name", "path", "share_pct", "sessions", "output_tokens"),
-        one(r.sessions.where("rank = 1"), "biggest_session", *session),
-        r.sessions.agg(F.min_by(F.struct(*session), F.struct(-F.col("total_tokens"), "rank")).alias("biggest_by_tokens")),
-        one(r.subagents.where("rank = 1"), "biggest_subagent", "session_id", "project_name", "total_tokens", "first_prompt"),
+        r.sessions.agg(F.min_by(F.struct(*session), "order").alias("biggest_session")),
+        r.sessions.agg(F.min_by(F.struct(*session), F.struct(-F.col("total_tokens"), "order")).alias("biggest_by_tokens")),
+        r.subagents.agg(F.min_by(F.struct("session_id", "project_name", "total_tokens", "first_prompt"), "order").alias("biggest_subagent")),
         one(r.recommendations.where("n = 1"), "next_move", "rule", "severity", "title", "savings", "action"),
     ]
     return reduce(DataFrame.crossJoin, parts)
@@ -212,7 +217,7 @@ def report(activity: DataFrame, year: int, relations: Relations | None = None) -
     aides = r.subagents.groupBy(c("parent_file").alias("file")).agg(F.transform(F.array_sort(F.collect_list(F.struct(c("file_ord").alias("_o"), F.struct(*aide).alias("_v")))), lambda x: x["_v"]).alias("subagents"))
     whole = r.sessions.join(prompts, "file", "left").join(totals, "file", "left").join(aides, "file", "left")
     session = [c("session_id").alias("sessionId"), c("project_hash").alias("projectHash"), c("project_path").alias("projectPath"), c("project_name").alias("projectName"), c("timestamp_start").alias("timestampStart"), c("timestamp_end").alias("timestampEnd"), c("duration_minutes").alias("durationMinutes"), F.struct(*usage()).alias("usage"), c("modelTotals"), c("total_tokens").alias("totalTokens"), usd(c("cost_units")).alias("costUsd"), c("prompt_count").alias("promptCount"), c("tool_message_count").alias("toolMessageCount"), c("first_prompt").alias("firstPrompt"), F.coalesce("prompts", F.array()).alias("prompts"), F.coalesce("subagents", F.array()).alias("subagents")]
-    breakdown = many(whole, "_s", ["rank"], *session).crossJoin(many(r.subagents.where("rank <= 20"), "_top", ["rank"], *aide)).crossJoin(r.subagents.agg(F.count(F.lit(1)).alias("_n"), F.coalesce(F.sum("total_tokens"), F.lit(0)).alias("_t")))
+    breakdown = many(whole, "_s", ["order"], *session).crossJoin(many(r.subagents.orderBy("order").limit(20), "_top", ["order"], *aide)).crossJoin(r.subagents.agg(F.count(F.lit(1)).alias("_n"), F.coalesce(F.sum("total_tokens"), F.lit(0)).alias("_t")))
     breakdown = breakdown.select(F.struct(c("_s").alias("sessions"), c("_top").alias("costlySubagents"), c("_n").alias("totalSubagentSessions"), c("_t").alias("totalSubagentTokens")).alias("sessionBreakdown"))
     tiers = an.tier_costs(r.model_costs).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tier", usd(c("cost")))))).alias("_tiers"))
     routing = r.routing.crossJoin(tiers).crossJoin(busiest).select(F.struct("available", c("opus_pct").alias("opusPct"), c("sonnet_pct").alias("sonnetPct"), c("haiku_pct").alias("haikuPct"), c("estimated_savings").alias("estimatedSavings"), c("subagent_pct").alias("subagentPct"), c("diversity_score").alias("diversityScore"), c("_tiers").alias("tierCosts"), c("total_cost").alias("totalCost"), "busiestHour").alias("modelRouting"))

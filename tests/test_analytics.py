@@ -62,8 +62,9 @@ def test_cache_trend(spark):
 
 def test_median_and_percentile(spark):
     df = spark.createDataFrame([(float(i), i) for i in (3, 1, 2, 4)], "a double, b long")
-    assert df.agg(an.median(F.col("a")), an.index_percentile(F.col("b"), 0.5), an.index_percentile(F.col("b"), 0.9)).first()[:] == (2.5, 3, 4)
-    assert df.where("a > 9").agg(an.median(F.col("a")), an.index_percentile(F.col("b"), 0.5)).first()[:] == (0.0, 0)
+    assert df.agg(an.median(F.col("a"))).first()[0] == 2.5 and df.where("a > 9").agg(an.median(F.col("a"))).first()[0] == 0.0
+    assert an.index_percentiles(df, "b", p50=0.5, p90=0.9, p100=1.0).first()[:] == (3, 4, 4)
+    assert an.index_percentiles(df.unionAll(df), "b", p50=0.5).first()[0] == 3 and an.index_percentiles(df.where("a > 9"), "b", p50=0.5).first()[0] == 0
 
 
 def test_ties(spark):
@@ -74,7 +75,7 @@ def test_ties(spark):
     assert an.top_tool(spark.createDataFrame([("a", 2), ("b", 2)], "name string, n long")).first()["name"] == "b"
     d = days(spark, [(1, 1, 1, 1)] * 2, [1.0, 1.0])
     assert an.cost_summary(d).first()["peak_day"] == "2026-01-02"
-    s = spark.createDataFrame([("x", "px", 5, 1, 0), ("y", "py", 5, 2, 0)], "session_id string, project_name string, duration_minutes long, rank long, tool_message_count long")
+    s = spark.createDataFrame([("x", "px", 5, (0, ["a"]), 0), ("y", "py", 5, (0, ["b"]), 0)], "session_id string, project_name string, duration_minutes long, order struct<c:long,f:array<string>>, tool_message_count long")
     assert an.session_cost_stats(s).first()["longest_session_id"] == "y" and an.duration_stats(s).first()["longest_session_project"] == "px"
 
 
