@@ -6,11 +6,11 @@ into the words of greatest total probability under a unigram model. Words in pat
 split the same way; runs of digits become one token. A multinomial naive Bayes model over these
 tokens, host and path apart, gives the log odds that a URL is unwanted.
 
-Training: the unigram model counts the words of all documents and the separate letter runs of all URLs; the `vocabulary` words of
-greatest count are kept (a bound of the model, not of what is counted), of which those seen less than
-`seldom` times are dropped. Naive Bayes is trained on all URLs that carry a label: by default, a host is labelled unwanted
+Training: the unigram model counts the words of all documents and the separate letter runs of all URLs; the words of
+greatest count are kept, at most `vocabulary` (a bound of the model, not of what is counted), without those seen less than
+`seldom` times. Naive Bayes is trained on all URLs that carry a label: by default, a host is labelled unwanted
 if one of its letter runs is a word of `unwanted`, and wanted if none of its segmented words is. The
-`features` tokens of greatest count are kept.
+tokens of greatest count are kept, at most `features`.
 
 Defined results: a null or empty URL has no tokens and gets the prior's log odds; text that isn't a URL is read as
 a host and a path. A character that no word covers is a word of its own, at the cost of an unknown
@@ -137,8 +137,19 @@ def url_words(pages: DataFrame) -> DataFrame:
 
 def train_segmenter(docs: DataFrame, pages: DataFrame, *, vocabulary: int = 200_000, seldom: int = 2) -> Segmenter:
     counts = document_words(docs).union(url_words(pages)).groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= seldom)
-    rows = counts.orderBy(F.desc("n"), "word").limit(vocabulary).toLocalIterator()
-    return Segmenter({r[0]: r[1] for r in rows})
+    return Segmenter({r[0]: r[1] for r in most_frequent(save(pages.sparkSession, counts, "words"), vocabulary)})
+
+
+def most_frequent(counts: DataFrame, most: int) -> Iterator:
+    """Rows of the greatest n, as many as have an n at which no more than `most` rows have as much or more. The cut is
+    taken from the number of rows at each n, so that nothing has to be sorted."""
+    upto, cut = 0, math.inf
+    for n, rows in sorted(((r[0], r[1]) for r in counts.groupBy("n").count().toLocalIterator()), reverse=True):
+        upto += rows
+        if upto > most:
+            break
+        cut = n
+    return counts.where(F.col("n") >= cut).toLocalIterator() if cut < math.inf else iter(())
 
 
 class NaiveBayes:
@@ -177,9 +188,9 @@ def train_bayes(marked: DataFrame, *, features: int = 200_000) -> NaiveBayes:
     """marked: (`__lw_tokens`, y), y 0 or 1 or null."""
     own = marked.where("y in (0, 1)")
     n = {r[0]: r[1] for r in own.groupBy("y").count().toLocalIterator()}
-    rows = own.select("y", F.explode(P + "tokens").alias("t")).groupBy("t").agg(F.expr("count_if(y = 0)").alias("a"), F.expr("count_if(y = 1)").alias("b"))
-    top = rows.orderBy(F.desc(F.col("a") + F.col("b")), "t").limit(features).toLocalIterator()
-    return NaiveBayes([tuple(r) for r in top], (n.get(0, 0), n.get(1, 0)))
+    rows = own.select("y", F.explode(P + "tokens").alias("t")).groupBy("t").agg(F.expr("count_if(y = 0)").alias("a"), F.expr("count_if(y = 1)").alias("b"), F.count(F.lit(1)).alias("n"))
+    top = most_frequent(save(marked.sparkSession, rows, "token-counts"), features)
+    return NaiveBayes([tuple(r)[:3] for r in top], (n.get(0, 0), n.get(1, 0)))
 
 
 def score(spark: SparkSession, pages: DataFrame, docs: DataFrame, *, labels=None, threshold: float = 0.0, vocabulary: int = 200_000, features: int = 200_000) -> DataFrame:
