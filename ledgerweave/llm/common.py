@@ -13,7 +13,19 @@ from pyspark.sql import functions as F
 P = "__lw_"
 
 
+#: Texts of up to about this many bytes go to a Python worker at once, unless the session says otherwise: batches of so and
+#: so many rows have no bound in bytes, and the JVM, the worker and the way between them hold several.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    if spark.sparkContext.getConf().get(_BATCH) is None and str(spark.conf.get(_BATCH)).rstrip("b") == str(64 << 20):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -30,6 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def save(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it again: its lineage ends here, and a lost executor loses nothing."""
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -10,12 +10,13 @@ and the Latin-1 letters). Hashes are polynomial over 64 bits with wrap-around, m
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _RNG = np.random.default_rng(0x5EED)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -79,6 +80,17 @@ def slices(arr: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, n
         j = max(i + 1, int(np.searchsorted(offs, offs[i] + most, "right")) - 1)
         yield i, j, data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
         i = j
+    give_back()
+
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: workers live long, and what they once used would stay theirs."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
