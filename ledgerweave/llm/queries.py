@@ -66,4 +66,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL, "op2_license_scan": licenses.sql(), "op3_warc_salvage": warc.SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op2_license_scan": licenses.sql(), "op3_warc_salvage": warc.SQL, "op5_suffix_decontam": suffix_decontam.SQL}

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ledgerweave.llm.textnp import slices, words
 
-SHARD_BYTES, BROADCAST_BYTES = 4 << 20, 64 << 20
+SHARD_BYTES, BROADCAST_BYTES = 2 << 20, 64 << 20
 
 
 class SuffixArray:
@@ -199,3 +199,27 @@ def decontaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
+
+
+_WORDS = "regexp_extract_all(lower(text), '[a-z0-9\\x{80}-\\x{10FFFF}]+')"
+
+
+def _grams(table: str, key: str) -> str:
+    following = ", ".join(f"lead(w, {k}) OVER x" for k in range(1, 5))
+    return f"""SELECT *, CASE WHEN lead(w, 4) OVER x IS NOT NULL THEN concat_ws(' ', w, {following}) END AS g
+    FROM (SELECT r, {key}, n, unnest(w) AS w, unnest(range(n)) AS i FROM (SELECT r, {key}, w, len(w) AS n FROM (SELECT row_number() OVER () AS r, {key}, {_WORDS} AS w FROM {table} WHERE text IS NOT NULL)))
+    WINDOW x AS (PARTITION BY r ORDER BY i)"""
+
+
+#: For the default parameters: runs of matching 5-grams along a diagonal are verbatim matches.
+SQL = f"""
+WITH d AS ({_grams("documents", "doc_id")}), b AS ({_grams("benchmark", "item_id")}),
+hits AS (SELECT d.r AS dr, b.r AS br, d.doc_id, b.item_id, b.n, d.i, d.i - b.i AS diagonal FROM d JOIN b ON d.g = b.g WHERE b.n >= 5),
+runs AS (
+    SELECT dr, br, doc_id, item_id, n, diagonal, min(i) AS doc_word, count(*) + 4 AS words
+    FROM (SELECT *, i - row_number() OVER (PARTITION BY dr, br, diagonal ORDER BY i) AS island FROM hits)
+    GROUP BY dr, br, doc_id, item_id, n, diagonal, island
+)
+SELECT doc_id, item_id, words, doc_word, doc_word - diagonal AS item_word FROM runs WHERE words >= least(13, n)
+QUALIFY row_number() OVER (PARTITION BY dr, br ORDER BY words DESC, doc_word, doc_word - diagonal) = 1
+"""

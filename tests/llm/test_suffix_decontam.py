@@ -81,3 +81,12 @@ def test_awkward_rows(spark):
     assert out.columns == docs.columns and out.count() == docs.count() - 3
     assert sd.contaminated(spark, docs.where("false"), bench).count() == 0
     assert sd.decontaminated(spark, docs, bench.where("false")).count() == docs.count()
+
+
+def test_query_equals_its_sql(spark):
+    from ledgerweave.llm import queries
+    from tests.compare import both
+
+    for sf in ("0.001", "0.01"):
+        ours, theirs = both(spark, f"/root/testdata/sf{sf}", queries.op5_suffix_decontam, sd.SQL)
+        assert ours == theirs and ours
