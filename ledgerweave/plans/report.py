@@ -19,7 +19,8 @@ TOKEN_NAMES = dict(zip(en.TOKENS, ("inputTokens", "outputTokens", "cacheCreation
 
 
 class Relations:
-    """Everything the report derives from one activity relation. What is used more than once is kept."""
+    """Everything the report derives from one activity relation. The tables that the rest is made of are kept; the one-row analyses
+    are cheaper to make again than to keep."""
 
     def __init__(self, activity: DataFrame, year: int | None = None):
         self.year, self.kept = year, []
@@ -32,21 +33,21 @@ class Relations:
         self.subagents = keep(se.subagents(rows, self.sessions))
         self.prompts = se.prompts(rows)
         self.model_totals = se.model_totals(rows)
-        self.projects = keep(en.projects(self.entries))
-        self.ranked = keep(en.ranked_projects(self.projects))
-        self.model_costs = keep(en.model_costs(self.daily_models))
-        self.hours = keep(en.hours(self.entries))
-        self.tools = keep(en.tool_counts(self.entries))
-        self.anomalies = keep(an.anomalies(self.daily))
-        self.inflections = keep(an.inflections(self.daily))
-        self.cost = keep(an.cost_summary(self.daily))
-        self.grade = keep(an.cache_grade(self.daily))
-        self.savings = keep(an.cache_savings(self.daily_models))
-        self.durations = keep(an.duration_stats(self.sessions))
-        self.overlap = keep(an.peak_overlap(self.hours))
-        self.routing = keep(an.model_routing(self.model_costs, self.entries))
+        self.projects = en.projects(self.entries)
+        self.ranked = en.ranked_projects(self.projects)
+        self.model_costs = en.model_costs(self.daily_models)
+        self.hours = en.hours(self.entries)
+        self.tools = en.tool_counts(self.entries)
+        self.anomalies = an.anomalies(self.daily)
+        self.inflections = an.inflections(self.daily)
+        self.cost = an.cost_summary(self.daily)
+        self.grade = an.cache_grade(self.daily)
+        self.savings = an.cache_savings(self.daily_models)
+        self.durations = an.duration_stats(self.sessions)
+        self.overlap = an.peak_overlap(self.hours)
+        self.routing = an.model_routing(self.model_costs, self.entries)
         self.facts = rules.facts(self.cost, self.grade, self.savings, self.anomalies, self.inflections, self.durations, self.overlap, self.routing, self.projects, self.ranked)
-        self.recommendations = keep(rules.recommendations(self.facts))
+        self.recommendations = rules.recommendations(self.facts)
 
     def _keep(self, df: DataFrame) -> DataFrame:
         self.kept.append(df.cache())
