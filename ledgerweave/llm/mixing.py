@@ -9,9 +9,13 @@ that the halves get shares of exact size, drawn without replacement. A leaf, i.e
 disjoint ranges of every source's permuted blocks. Within a shard the rows are put in the order of
 another keyed hash.
 
-Quotas: with weights w and rows n of the sources, the total is the largest at which every source
-that holds at least `rare` of all rows can meet its weight; a rarer source gives its share or,
-if it is short, all its rows. Fractions go to the largest remainders, ties to the source that sorts
+Quotas: with weights w and rows n of the sources, a source gives min(n, level * w); what it is short of its share goes to
+the others in proportion to their weights, as the level is what adds up to the total. The total may be stated. Otherwise the
+level follows from the bounds n / w at which the sources run short: it is their geometric mean over the scarcest rows, i.e. over the
+sources of least bound that hold the share `scarce` of all rows, where the rows up to the share u count (u / scarce) ** 2.
+So scarce sources with that share or more bind the total, and the weights are met exactly; with fewer rows they give what they
+have and bind it the less the fewer rows they hold. The level is continuous in the counts, and splitting a source in
+parts of the same bound doesn't change it. Fractions go to the largest remainders, ties to the source that sorts
 first. Default weights are n ** `alpha` (temperature sampling).
 
 Defined results: a null source is a source of its own. Equal rows have equal hashes and are told
@@ -22,6 +26,8 @@ through; helper columns start with `__lw_`.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,19 +38,37 @@ BUCKET_ROWS, BROADCAST_SOURCES = 2048, 100_000
 NULL_SOURCE = "\0null"
 
 
-def quotas(counts: dict[str, int], weights: dict[str, float] | None = None, *, alpha: float = 0.5, rare: float = 0.001) -> dict[str, int]:
+def level(counts: dict[str, int], w: dict[str, float], scarce: float) -> float:
+    """Rows per unit of weight, from the bounds of the scarcest rows."""
+    everything, upto, before, out = sum(counts[s] for s in w), 0, 0.0, 0.0
+    for s in sorted(w, key=lambda s: counts[s] / w[s]):
+        upto += counts[s]
+        now = min(1.0, upto / everything / scarce) ** 2
+        out += (now - before) * math.log(counts[s] / w[s])
+        before = now
+    return math.exp(out)
+
+
+def level_of_total(counts: dict[str, int], w: dict[str, float], total: int) -> float:
+    """Rows per unit of weight at which the sources give `total` rows, those that run short all of theirs."""
+    whole, given = sum(w.values()), 0
+    for s in sorted(w, key=lambda s: counts[s] / w[s]):
+        if counts[s] / w[s] * whole + given >= total:
+            return (total - given) / whole
+        whole, given = whole - w[s], given + counts[s]
+    return math.inf
+
+
+def quotas(counts: dict[str, int], weights: dict[str, float] | None = None, *, alpha: float = 0.5, scarce: float = 0.05, total: int | None = None) -> dict[str, int]:
     """Rows to draw of each source."""
     counts = {s: n for s, n in counts.items() if n > 0}
     w = {s: n**alpha for s, n in counts.items()} if weights is None else {s: float(weights[s]) for s in counts if weights.get(s, 0) > 0}
     if not w:
         return {}
-    whole, everything = sum(w.values()), sum(counts.values())
-    bound = {s: counts[s] * whole / w[s] for s in w}
-    common = [s for s in w if counts[s] >= rare * everything] or list(w)
-    total = int(min(bound[s] for s in common) * (1 + 1e-12))
-    exact = {s: total * w[s] / whole for s in w}
+    per = level(counts, w, scarce) if total is None else level_of_total(counts, w, total)
+    exact = {s: min(float(counts[s]), per * w[s]) for s in w}
     out = {s: int(x) for s, x in exact.items()}
-    for s in sorted(w, key=lambda s: (-(exact[s] - out[s]), s))[: total - sum(out.values())]:
+    for s in sorted(w, key=lambda s: (-(exact[s] - out[s]), s))[: round(sum(exact.values())) - sum(out.values())]:
         out[s] += 1
     return {s: min(n, counts[s]) for s, n in out.items()}
 
@@ -111,18 +135,18 @@ def mix(spark: SparkSession, docs: DataFrame, **more) -> DataFrame:
     return dealt(spark, docs, **more)[0]
 
 
-def dealt(spark: SparkSession, docs: DataFrame, *, weights: dict[str, float] | None = None, alpha: float = 0.5, rare: float = 0.001, block: int = 32, shard_rows: int = 16384, seed: int = 17) -> tuple[DataFrame, int]:
+def dealt(spark: SparkSession, docs: DataFrame, *, weights: dict[str, float] | None = None, alpha: float = 0.5, scarce: float = 0.05, total: int | None = None, block: int = 32, shard_rows: int = 16384, seed: int = 17) -> tuple[DataFrame, int]:
     """The mixture, see mix(), and its number of shards."""
     source = F.coalesce(F.col("source").cast("string"), F.lit(NULL_SOURCE))
     counts = {r[0]: r[1] for r in docs.select(source.alias("s")).groupBy("s").count().toLocalIterator()}
-    quota = quotas(counts, weights, alpha=alpha, rare=rare)
+    quota = quotas(counts, weights, alpha=alpha, scarce=scarce, total=total)
     names = sorted(quota)
-    total = sum(quota.values())
+    drawn = sum(quota.values())
     empty = docs.withColumns({P + "shard": F.lit(0), P + "place": F.lit(0).cast("long")})
-    if not total:
+    if not drawn:
         return empty.where("false"), 1
     blocks = [-(-quota[s] // block) for s in names]
-    tree = SplitTree(blocks, -(-total // shard_rows), seed)
+    tree = SplitTree(blocks, -(-drawn // shard_rows), seed)
     info = spark.createDataFrame([(s, i, quota[s], max(1, counts[s] // BUCKET_ROWS)) for i, s in enumerate(names)], f"{P}s string, {P}i int, {P}quota long, {P}buckets long")
     if len(names) <= BROADCAST_SOURCES:
         info = F.broadcast(info)

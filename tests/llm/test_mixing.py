@@ -21,6 +21,31 @@ def test_quotas():
     assert all(q[s] <= n[s] for s in n) and q["a"] / q["c"] == pytest.approx(100 / 30, rel=0.01) and q["c"] == 900
 
 
+def test_quotas_are_continuous_in_the_counts():
+    """A row more or less of a tiny source changes the other quotas by next to nothing."""
+    equal = {f"s{i:02}": 50_000 for i in range(20)}
+    kept = []
+    for tiny in range(0, 50_001, 25):
+        counts = {**equal, "tiny": tiny}
+        kept.append(sum(mixing.quotas(counts).values()) / sum(counts.values()))
+    assert max(abs(a - b) for a, b in zip(kept, kept[1:])) < 0.002
+    assert min(kept[:41]) > 0.99 and min(kept) > 0.8
+    # one source or its parts: the same level
+    whole, parts = {"a": 900_000, "b": 9_000}, {"a": 900_000, **{f"b{i}": 1_000 for i in range(9)}}
+    q, p = mixing.quotas(whole, {"a": 1, "b": 1}), mixing.quotas(parts, {"a": 1, **{f"b{i}": 1 / 9 for i in range(9)}})
+    assert abs(q["a"] - p["a"]) <= 1
+
+
+def test_a_stated_total_is_met():
+    n, w = {"a": 1000, "b": 500, "c": 10}, {"a": 1, "b": 1, "c": 2}
+    assert mixing.quotas(n, w, total=20) == {"a": 5, "b": 5, "c": 10}
+    # what c and then b are short of goes to the others
+    assert mixing.quotas(n, w, total=410) == {"a": 200, "b": 200, "c": 10}
+    assert mixing.quotas(n, w, total=1310) == {"a": 800, "b": 500, "c": 10}
+    assert mixing.quotas(n, w, total=5000) == n and sum(mixing.quotas(n, w, total=0).values()) == 0
+    assert sum(mixing.quotas(n, total=777).values()) == 777
+
+
 @pytest.mark.parametrize("shards", [1, 2, 7, 16])
 def test_tree_deals_every_block_once(shards):
     blocks = [50, 0, 13, 200]
