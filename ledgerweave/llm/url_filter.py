@@ -6,11 +6,11 @@ into the words of greatest total probability under a unigram model. Words in pat
 split the same way; runs of digits become one token. A multinomial naive Bayes model over these
 tokens, host and path apart, gives the log odds that a URL is unwanted.
 
-Training: the unigram model counts the words of all documents and the separate letter runs of all URLs; the words of
-greatest count are kept, at most `vocabulary` (a bound of the model, not of what is counted), without those seen less than
-`seldom` times. Naive Bayes is trained on all URLs that carry a label: by default, a host is labelled unwanted
-if one of its letter runs is a word of `unwanted`, and wanted if none of its segmented words is. The
-tokens of greatest count are kept, at most `features`.
+Training: the unigram model counts the words of all documents and the separate letter runs of all URLs, without those seen less
+than `seldom` times; the words of `unwanted` are always among them. Of the words counted, the model holds those that
+occur anywhere in a letter run of a URL: no other can take part in a split. Naive Bayes is trained on all URLs that carry a label: by
+default, a host is labelled unwanted if one of its letter runs is a word of `unwanted`, and wanted if none of its segmented
+words is. All tokens count: those of greatest count, at most `features`, are sent to the tasks, the others are joined.
 
 Defined results: a null or empty URL has no tokens and gets the prior's log odds; text that isn't a URL is read as
 a host and a path. A character that no word covers is a word of its own, at the cost of an unknown
@@ -56,8 +56,9 @@ def parts(url: str | None) -> tuple[list[str], list[str]]:
 class Segmenter:
     """Unigram model: log probability of each word, and of an unknown letter."""
 
-    def __init__(self, counts: dict[str, int]):
-        total = max(1, sum(counts.values()))
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        """total: of the counts of all words, if counts holds only those that are looked up."""
+        total = max(1, sum(counts.values()) if total is None else total)
         self.cost = {w: math.log(n / total) for w, n in counts.items() if 0 < len(w) <= LONGEST}
         self.unknown = math.log(0.01 / total)
         self.split = lru_cache(1 << 16)(self._split)
@@ -135,30 +136,58 @@ def url_words(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("url").cast("string")).mapInArrow(run, "word string, n long")
 
 
-def train_segmenter(docs: DataFrame, pages: DataFrame, *, vocabulary: int = 200_000, seldom: int = 2) -> Segmenter:
-    counts = document_words(docs).union(url_words(pages)).groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= seldom)
-    return Segmenter({r[0]: r[1] for r in most_frequent(save(pages.sparkSession, counts, "words"), vocabulary)})
+def url_pieces(pages: DataFrame) -> DataFrame:
+    """(word): all that stands anywhere in a letter run of a URL, each once."""
 
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {r for url in batch.column(0).to_pylist() for side in parts(url) for r in side if r.isalpha()}
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], names=["run"])
 
-def most_frequent(counts: DataFrame, most: int) -> Iterator:
-    """Rows of the greatest n, as many as have an n at which no more than `most` rows have as much or more. The cut is
-    taken from the number of rows at each n, so that nothing has to be sorted."""
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[str] = set()
+        for batch in batches:
+            for run in batch.column(0).to_pylist():
+                for i in range(len(run)):
+                    found.update(run[i:j] for j in range(i + 1, min(i + LONGEST, len(run)) + 1))
+                    if len(found) > 100_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], names=["word"])
+                        found = set()
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], names=["word"])
+
+    distinct = pages.select(F.col("url").cast("string")).mapInArrow(runs, "run string").distinct()
+    return distinct.mapInArrow(pieces, "word string").distinct()
+
+
+def train_segmenter(docs: DataFrame, pages: DataFrame, *, unwanted: tuple[str, ...] = UNWANTED, seldom: int = 2) -> Segmenter:
+    spark = pages.sparkSession
+    seeds = spark.createDataFrame([(w, 0) for w in unwanted], "word string, n long")
+    counts = document_words(docs).union(url_words(pages)).union(seeds).groupBy("word").agg(F.sum("n").alias("n"))
+    counts = save(spark, counts.where((F.col("n") >= seldom) | F.col("word").isin(*unwanted)).withColumn("n", F.greatest("n", F.lit(1))), "words")
+    total = counts.agg(F.sum("n")).first()[0]
+    return Segmenter({r[0]: r[1] for r in counts.join(url_pieces(pages), "word", "left_semi").toLocalIterator()}, total)
+
+
+def least_sent(counts: DataFrame, most: int) -> float:
+    """The least n such that no more than `most` rows have as much or more. It is taken from the number of rows at each n,
+    so that nothing has to be sorted."""
     upto, cut = 0, math.inf
     for n, rows in sorted(((r[0], r[1]) for r in counts.groupBy("n").count().toLocalIterator()), reverse=True):
         upto += rows
         if upto > most:
             break
         cut = n
-    return counts.where(F.col("n") >= cut).toLocalIterator() if cut < math.inf else iter(())
+    return cut
 
 
 class NaiveBayes:
-    def __init__(self, rows: list[tuple[str, int, int]], urls: tuple[int, int]):
-        """rows: (token, times in wanted URLs, times in unwanted ones); urls: numbers of both kinds."""
+    def __init__(self, rows: list[tuple[str, int, int]], urls: tuple[int, int], totals: tuple[int, int] | None = None):
+        """rows: (token, times in wanted URLs, times in unwanted ones); urls: numbers of both kinds; totals: of the times
+        + 1 of all tokens, if rows holds only some."""
         self.odds: dict[str, float] = {}
         self.prior = 0.0
         if min(urls):
-            total = [sum(r[1] for r in rows) + len(rows), sum(r[2] for r in rows) + len(rows)]
+            total = totals or (sum(r[1] for r in rows) + len(rows), sum(r[2] for r in rows) + len(rows))
             self.odds = {t: math.log((b + 1) / total[1]) - math.log((a + 1) / total[0]) for t, a, b in rows}
             self.prior = math.log(urls[1] / urls[0])
 
@@ -184,25 +213,51 @@ def seed_label(unwanted: tuple[str, ...] = UNWANTED):
     return F.when(F.size(words_) == 0, None).otherwise(F.coalesce(hit, F.lit(False)).cast("int"))
 
 
-def train_bayes(marked: DataFrame, *, features: int = 200_000) -> NaiveBayes:
-    """marked: (`__lw_tokens`, y), y 0 or 1 or null."""
+def train_bayes(marked: DataFrame, *, features: int = 200_000) -> tuple[NaiveBayes, DataFrame | None]:
+    """The model of the tokens that are sent, and (t, o), the odds of the others, if there are any. marked: (`__lw_tokens`, y), y 0 or 1 or null."""
     own = marked.where("y in (0, 1)")
     n = {r[0]: r[1] for r in own.groupBy("y").count().toLocalIterator()}
     rows = own.select("y", F.explode(P + "tokens").alias("t")).groupBy("t").agg(F.expr("count_if(y = 0)").alias("a"), F.expr("count_if(y = 1)").alias("b"), F.count(F.lit(1)).alias("n"))
-    top = most_frequent(save(marked.sparkSession, rows, "token-counts"), features)
-    return NaiveBayes([tuple(r)[:3] for r in top], (n.get(0, 0), n.get(1, 0)))
+    rows = save(marked.sparkSession, rows, "token-counts")
+    cut = least_sent(rows, features)
+    sent = rows.where(F.col("n") >= cut).toLocalIterator() if cut < math.inf else ()
+    sums = rows.agg(F.coalesce(F.sum(F.col("a") + 1), F.lit(0)), F.coalesce(F.sum(F.col("b") + 1), F.lit(0))).first()
+    model = NaiveBayes([tuple(r)[:3] for r in sent], (n.get(0, 0), n.get(1, 0)), tuple(sums))
+    rest = rows.where(F.col("n") < cut) if cut < math.inf else rows
+    if len(n) < 2 or rest.isEmpty():
+        return model, None
+    return model, rest.select("t", (F.log((F.col("b") + 1) / sums[1]) - F.log((F.col("a") + 1) / sums[0])).alias("o"))
+
+
+def rest_odds(split: DataFrame, model: NaiveBayes, rest: DataFrame) -> DataFrame:
+    """split with `__lw_rest`, the sum of the odds of the tokens that aren't sent; they are joined, once for every distinct URL."""
+    sent = split.sparkSession.sparkContext.broadcast(frozenset(model.odds))
+
+    @F.pandas_udf("array<string>")
+    def others(tokens):
+        return tokens.map(lambda t: [x for x in t if x not in sent.value])
+
+    url = F.col("url").cast("string").alias(P + "url")
+    each = split.select(url, P + "tokens").dropDuplicates([P + "url"]).select(P + "url", F.explode(others(P + "tokens")).alias("t"))
+    added = each.join(rest, "t").groupBy(P + "url").agg(F.aggregate(F.sort_array(F.collect_list("o")), F.lit(0.0), lambda x, y: x + y).alias(P + "rest"))
+    return split.join(added, split["url"].cast("string") == added[P + "url"], "left").drop(P + "url")
 
 
-def score(spark: SparkSession, pages: DataFrame, docs: DataFrame, *, labels=None, threshold: float = 0.0, vocabulary: int = 200_000, features: int = 200_000) -> DataFrame:
-    """pages with `__lw_tokens`, `__lw_log_odds` and `__lw_keep`. labels: a column expression over pages with their tokens."""
-    segmenter = train_segmenter(docs, pages, vocabulary=vocabulary)
+def score(spark: SparkSession, pages: DataFrame, docs: DataFrame, *, labels=None, threshold: float = 0.0, unwanted: tuple[str, ...] = UNWANTED, features: int = 200_000) -> DataFrame:
+    """pages with `__lw_tokens`, `__lw_log_odds` and `__lw_keep`. labels: a column expression over pages with their tokens.
+    features: the tokens that are sent to the tasks instead of being joined; the result doesn't depend on it."""
+    segmenter = train_segmenter(docs, pages, unwanted=unwanted)
     split = tokenised(pages, segmenter)
-    y = seed_label() if labels is None else labels
-    model = train_bayes(save(spark, split.select(P + "tokens", y.cast("int").alias("y")), "url-tokens"), features=features)
+    y = seed_label(unwanted) if labels is None else labels
+    model, rest = train_bayes(save(spark, split.select(P + "tokens", y.cast("int").alias("y")), "url-tokens"), features=features)
     sent = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def odds(tokens):
         return tokens.map(lambda t: sent.value.log_odds(list(t) if t is not None else [])).astype("float64")
 
-    return split.withColumn(P + "log_odds", odds(P + "tokens")).withColumn(P + "keep", F.col(P + "log_odds") <= threshold)
+    total = odds(P + "tokens")
+    if rest is not None:
+        split = rest_odds(split, model, rest)
+        total = total + F.coalesce(P + "rest", F.lit(0.0))
+    return split.withColumn(P + "log_odds", total).drop(P + "rest").withColumn(P + "keep", F.col(P + "log_odds") <= threshold)

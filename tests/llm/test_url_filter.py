@@ -66,6 +66,31 @@ def test_held_out_hosts(spark):
     assert sum(caught) / len(caught) > 0.9 and sum(lost) / len(lost) < 0.1
 
 
+def test_all_words_of_urls_count(spark):
+    """However many words the documents have, a rare one that stands in a URL is known; so are the words of `unwanted`."""
+    r = rng(4)
+    docs = documents(spark, [" ".join(["the ware cheap"] * 50), "zebrafish zebrafish", *(text(r, 300) for _ in range(5))])
+    urls = ["http://cheapzebrafish.example.com/", "http://thewarez.example.com/zebrafishcheap", "http://the-cheap.example.com/1"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    seg = uf.train_segmenter(docs, pages)
+    assert seg.split("cheapzebrafish") == ("cheap", "zebrafish") and seg.split("thewarez") == ("the", "warez")
+    # words that stand in no URL change the costs, but aren't held
+    assert set(seg.cost) <= {u[i:j] for u in urls for i in range(len(u)) for j in range(i + 1, len(u) + 1)} and len(seg.cost) < 50
+    rows = {x["page_id"]: x for x in uf.score(spark, pages, docs).collect()}
+    assert not rows[1][P + "keep"] and rows[0][P + "keep"] and rows[2][P + "keep"]
+
+
+def test_tokens_that_are_joined_count_alike(spark):
+    """The number of tokens that are sent to the tasks doesn't change the result."""
+    urls = [f"http://{w}-casino.example.com/{w}x/win/win" for w in ("cheap", "free", "best")] + [f"http://{w}-garden.example.com/{w}y/read" for w in ("green", "old", "new")] * 2 + [None, ""]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    docs = documents(spark, ["garden read garden read win win"])
+    want, *others = [{r["page_id"]: (r[P + "log_odds"], r[P + "keep"]) for r in uf.score(spark, pages, docs, features=f).collect()} for f in (200_000, 3, 0)]
+    assert not want[0][1] and want[3][1] and len(want) == len(urls)
+    for got in others:
+        assert got.keys() == want.keys() and all(got[k][0] == pytest.approx(want[k][0]) and got[k][1] == want[k][1] for k in want)
+
+
 def test_awkward_rows(spark):
     pages = spark.createDataFrame([(1, None), (2, ""), (None, "http://a.example.com/"), (3, "not a url at all"), (4, "http://" + "longname" * 500 + ".com/"), (5, "http://casino.com/x"), (5, "http://casino.com/x"), (6, "http://ü.example/漢字?\n")], "page_id long, url string").selectExpr("*", "1 AS tokens", "'h' AS host", "2 AS y", "3 AS keep")
     docs = documents(spark, ["long name words long name", None, ""])
