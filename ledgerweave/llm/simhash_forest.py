@@ -4,7 +4,7 @@ Fingerprint: 256 bits, each the majority of one bit of the hashes of the documen
 these are its words, each once for its 1st, 2nd, 4th, 8th, ... occurrence. Each of several trees sorts the fingerprints by randomly permuted bits. A node of a
 tree (the fingerprints with one prefix) is split while it holds more than `leaf` fingerprints,
 so that the prefix is as long as the density asks for, but never beyond the depth at which the
-trees together find a pair at `design_distance` with probability `recall`: there the search has
+trees together find a pair at `design_distance`, the greatest that is accepted, with probability `recall`: there the search has
 climbed to prefixes short enough, and all pairs of the node are compared, however many. Depth and
 number of trees follow from the number of fingerprints. Pairs are verified by their Hamming
 distance over all bits: `max_distance` at most, or `short_distance` if either document has fewer
@@ -216,9 +216,10 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("v"), F.col("v").alias("c"))
 
 
-def decisions(spark: SparkSession, documents: DataFrame, *, leaf: int = 256, recall: float = 0.95, design_distance: int = 40, max_distance: int = 56, short_distance: int = 44, seed: int = 11) -> DataFrame:
+def decisions(spark: SparkSession, documents: DataFrame, *, leaf: int = 256, recall: float = 0.95, design_distance: int | None = None, max_distance: int = 56, short_distance: int = 44, seed: int = 11) -> DataFrame:
     """A saved table with a row for each key (doc_id, th): n, its rows; keep_id, keep_th, the key that stays in
-    its place (itself, if it stays); distance, between the two fingerprints."""
+    its place (itself, if it stays); distance, between the two fingerprints. design_distance: by default, the greatest accepted."""
+    design_distance = max(max_distance, short_distance) if design_distance is None else design_distance
     fp = save(spark, fingerprints(documents).groupBy("doc_id", "th", "short", *FP).agg(F.count(F.lit(1)).alias("n")).withColumn("v", F.xxhash64(*FP)), "fingerprints")
     nodes = save(spark, fp.groupBy("v").agg(F.max("short").alias("short"), *(F.first(f).alias(f) for f in FP)), "nodes")
     found = components(spark, edges(spark, nodes, leaf=leaf, recall=recall, design_distance=design_distance, most=max_distance, most_short=short_distance, seed=seed))

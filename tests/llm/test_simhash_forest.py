@@ -71,6 +71,20 @@ def test_plan_meets_its_recall():
         assert 1 - (1 - (1 - 40 / sf.BITS) ** depth) ** trees >= 0.95 and depth <= 32
 
 
+def test_recall_holds_for_all_accepted_distances(spark, monkeypatch):
+    """The forest that decisions() asks for finds pairs at the greatest distance it accepts, whatever the size."""
+    asked, plan = [], sf.plan
+    monkeypatch.setattr(sf, "plan", lambda n, *more: asked.append(more) or plan(n, *more))
+    docs = documents(spark, ["one text", "another text"])
+    for most, short in ((56, 44), (20, 30)):
+        sf.duplicates(spark, docs, max_distance=most, short_distance=short)
+    sf.duplicates(spark, docs)
+    for more, most in zip(asked, (56, 30, 56), strict=True):
+        for n in (10**4, 10**7, 10**10):
+            depth, trees = plan(n, *more)
+            assert 1 - (1 - (1 - most / sf.BITS) ** depth) ** trees >= 0.95
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(30)] + [(101, 100), (102, 100)], "u long, v long")
     got = {r["v"]: r["c"] for r in sf.components(spark, links).collect()}
