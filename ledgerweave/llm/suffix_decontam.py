@@ -3,30 +3,56 @@
 The training text is cut into shards, each of whole documents. A shard's words (lower-cased runs of
 letters and digits, so that spacing and punctuation don't matter) get a suffix array, by prefix
 doubling up to the length of the longest benchmark item: no search looks further. Every suffix of
-every benchmark item is searched in it: its interval of the array is narrowed word by word, by
-binary search. All places in the interval at the depth `min_words` (or the whole item, if it is
-shorter) are matches, and each is extended to its full length. The longest match of each document
-and item is reported with its place in both, and documents with a match are removed.
-
-Items of fewer than `least_words` words say too little and are left out. Defined results: null and
-empty texts match nothing; null items are left out; of equal lengths the match earliest in the
-document, then in the item, is reported; repeated rows are reported once each; a text longer than a
-shard is a shard of its own. Columns beside doc_id and text pass through. Without benchmark items,
-nothing is removed.
+every benchmark item is searched in it, by binary search: first the interval of the suffixes that share its
+first `min_words` words (or the whole item, if it is shorter), narrowed word by word, then its own place in the
+order of the interval. Those that share most with it stand next to that place, so that one look to either side
+gives its longest match in each document of the interval. The work is one step for each suffix and document, not
+for each pair of places, and repetitive texts stay cheap. The longest match of each document and item is
+reported with its place in both, and documents with a match are removed. A suffix whose first words stand nowhere
+in a shard isn't searched in it; the hashes of all runs of words of that length tell, so that the work for a shard
+doesn't grow with the benchmark.
+
+Items of fewer than `least_words` words say too little to be searched within texts: they match the documents
+that consist of the same words and nothing else. Defined results: null and empty texts match nothing; null items
+and items without any word are left out; of equal lengths the match earliest in the document, then in the item, is
+reported; repeated rows are reported once each; a text longer than a shard is a shard of its own. Columns beside
+doc_id and text pass through. Without benchmark items, nothing is removed. Words, and runs of words, are
+compared by 64-bit hashes. doc_id must be castable to long in `contaminated`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerweave.llm.textnp import slices, words
+from ledgerweave.llm.textnp import mix, powers, sequence_prefix, slices, words
 
-SHARD_BYTES, BROADCAST_BYTES = 2 << 20, 64 << 20
+SHARD_BYTES, BROADCAST_BYTES, STEPS = 2 << 20, 64 << 20, 1 << 20
+
+
+def bisect(lo: np.ndarray, hi: np.ndarray, test: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """For every row the first number in [lo, hi) that passes, or hi; test(rows, numbers) passes from some number on."""
+    lo, hi = lo.copy(), hi.copy()
+    while (todo := np.flatnonzero(lo < hi)).size:
+        mid = (lo[todo] + hi[todo]) >> 1
+        ok = test(todo, mid)
+        hi[todo[ok]], lo[todo[~ok]] = mid[ok], mid[~ok] + 1
+    return lo
+
+
+class Sequence:
+    """Tokens with the hash of any run of them in constant time."""
+
+    def __init__(self, tokens: np.ndarray):
+        self.prefix, self.inverse = sequence_prefix(tokens), powers(len(tokens) + 1, inverse=True)
+
+    def hash(self, at: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+        return mix((self.prefix[at + n] - self.prefix[at]) * self.inverse[at])
 
 
 class SuffixArray:
@@ -94,57 +120,161 @@ class Bench:
 
     def __init__(self, ids: list, texts: list[str], min_words: int, least_words: int):
         arr = pa.array(texts, pa.string())
-        h, own, at = [], [], 0
+        h, own = [], []
         for i, j, data, offs in slices(arr):
             x, t, _, _ = words(data, offs)
             h.append(x | np.uint64(1))
             own.append(t + i)
         self.token = np.concatenate(h) if h else np.zeros(0, np.uint64)
         item = np.concatenate(own) if own else np.zeros(0, np.int64)
-        count = np.bincount(item, minlength=len(ids)) if len(ids) else np.zeros(0, np.int64)
-        end = np.cumsum(count)
-        need = np.minimum(min_words, count)[item]
+        self.count = np.bincount(item, minlength=len(ids)) if len(ids) else np.zeros(0, np.int64)
+        end = np.cumsum(self.count)
+        self.first = end - self.count
+        need = np.minimum(min_words, self.count)[item]
         start = np.arange(len(item))
-        fits = (end[item] - start >= need) & (count[item] >= least_words)
+        fits = (end[item] - start >= need) & (self.count[item] >= least_words)
         self.start, self.need, self.item, self.end = start[fits], need[fits], item[fits], end[item[fits]]
-        self.offset = (end - count)[self.item]
-        self.ids, self.longest = ids, int(count.max(initial=0))
+        self.ids, self.longest, self.least_words = ids, int(self.count.max(initial=0)), least_words
+
+    @cached_property
+    def sequence(self) -> Sequence:
+        return Sequence(self.token)
+
+    @cached_property
+    def grams(self) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each number of words that are needed: it, the hashes of the suffixes' first words in order, whose they are, and marks for the hashes' last bits."""
+        out = []
+        for n in np.unique(self.need).tolist():
+            rows = np.flatnonzero(self.need == n)
+            key = self.sequence.hash(self.start[rows], n)
+            order = np.argsort(key, kind="stable")
+            mark = np.zeros(1 << 22, bool)
+            mark[key & np.uint64(len(mark) - 1)] = True
+            out.append((n, key[order], rows[order], mark))
+        return out
+
+    @cached_property
+    def whole(self) -> dict[tuple[int, int], list[int]]:
+        """(words, hash) -> items, of those that have to be the whole text."""
+        out: dict[tuple[int, int], list[int]] = {}
+        own = np.flatnonzero((self.count > 0) & (self.count < self.least_words))
+        for i, key in zip(own.tolist(), self.sequence.hash(self.first[own], self.count[own]).tolist()):
+            out.setdefault((int(self.count[i]), key), []).append(i)
+        return out
+
+    def wanted(self, shard: Sequence) -> np.ndarray:
+        """The suffixes whose first words stand somewhere in the shard."""
+        out = [np.zeros(0, np.int64)]
+        for n, key, rows, mark in self.grams:
+            have = shard.hash(np.arange(max(0, len(shard.prefix) - n)), n)
+            have = np.unique(have[mark[have & np.uint64(len(mark) - 1)]])
+            lo, hi = np.searchsorted(key, have), np.searchsorted(key, have, "right")
+            out.append(rows[spread(lo, hi)[1]])
+        return np.sort(np.concatenate(out))
 
     def matches(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
         """(text number, item number, words, first word in the text, first word in the item), the longest of each text and item."""
-        none = tuple(np.zeros(0, np.int64) for _ in range(5))
         h, text, _, _ = words(data, offs)
-        if not len(h) or not len(self.start):
-            return none
-        cut = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
-        place = np.arange(len(h)) + np.cumsum(np.r_[True, text[1:] != text[:-1]]) - 1
-        tokens = np.zeros(len(h) + len(cut), np.uint64)
-        tokens[place] = h | np.uint64(1)
-        of = np.full(len(tokens), -1, np.int64)
-        of[place] = text
-        first = np.full(int(text[-1]) + 1, 0, np.int64)
-        first[text[cut]] = place[cut]
-        array = SuffixArray(tokens, int(self.need.max()))
-        query = array.codes(self.token)
-        lo, hi = array.intervals(query, self.start, self.need)
-        size = np.maximum(hi - lo, 0)
-        if not size.sum():
-            return none
-        q = np.repeat(np.arange(len(size)), size)
-        at = array.sa[np.arange(len(q)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)]
-        length = self.need[q].copy()
-        todo = np.arange(len(q))
-        while len(todo):
-            more = self.start[q[todo]] + length[todo] < self.end[q[todo]]
-            todo = todo[more]
-            same = query[self.start[q[todo]] + length[todo]] == array.code[np.minimum(at[todo] + length[todo], len(tokens))]
-            todo = todo[same]
-            length[todo] += 1
-        doc, item = of[at], self.item[q]
-        doc_word, item_word = at - first[doc], self.start[q] - self.offset[q]
-        order = np.lexsort((item_word, doc_word, -length, item, doc))
-        best = order[np.r_[True, (doc[order][1:] != doc[order][:-1]) | (item[order][1:] != item[order][:-1])]]
-        return doc[best], item[best], length[best], doc_word[best], item_word[best]
+        if not len(h) or not len(self.token):
+            return tuple(np.zeros(0, np.int64) for _ in range(5))
+        fresh = np.r_[True, text[1:] != text[:-1]]
+        cut, number = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+        place = np.arange(len(h)) + number
+        tokens, of = np.zeros(len(h) + len(cut), np.uint64), np.full(len(h) + len(cut), -1, np.int64)
+        tokens[place], of[place] = h | np.uint64(1), number
+        first, size, shard = place[cut], np.diff(np.r_[cut, len(h)]), Sequence(tokens)
+        found = []
+        short = np.flatnonzero(size < self.least_words) if self.whole else cut[:0]
+        for d, n, key in zip(short.tolist(), size[short].tolist(), shard.hash(first[short], size[short]).tolist()):
+            found += [(d, i, n, 0, 0) for i in self.whole.get((n, key), ())]
+        out = [np.array(found, np.int64).reshape(-1, 5).T]
+        own = self.wanted(shard)
+        if len(own):
+            array = SuffixArray(tokens, self.longest)
+            query = array.codes(self.token)
+            lo, hi = array.intervals(query, self.start[own], self.need[own])
+            hit = np.flatnonzero(lo < hi)
+            own, lo, hi = own[hit], lo[hit], hi[hit]
+            # all suffixes of an item together; a portion has about STEPS pairs of a suffix and a document
+            _, size = documents_in(array, of, lo, hi)
+            total = np.cumsum(size)
+            at = 0
+            while at < len(own):
+                to = max(at + 1, int(np.searchsorted(total, total[at] - size[at] + STEPS, "right")))
+                to = int(np.searchsorted(self.item[own], self.item[own[to - 1]], "right"))
+                out.append(self.longest_matches(array, query, shard, of, first, own[at:to], lo[at:to], hi[at:to]))
+                at = to
+        doc, item, n, x, y = np.concatenate(out, axis=1)
+        return text[cut][doc], item, n, x, y
+
+    def longest_matches(self, array: SuffixArray, query: np.ndarray, shard: Sequence, of: np.ndarray, first: np.ndarray, own: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """The longest match of each document and item. own: suffixes of the benchmark, [lo, hi): their intervals, of: each token's document, first: each document's first token."""
+        q, end, need, n = self.start[own], self.end[own], self.need[own], len(of)
+
+        def shared(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+            """Words that suffixes own[rows] have in common with the shard from `at`, need at least."""
+            most = np.minimum(end[rows] - q[rows], n - at)
+            return bisect(need[rows], most, lambda r, k: self.sequence.hash(q[rows[r]], k + 1) != shard.hash(at[r], k + 1))
+
+        def not_less(r: np.ndarray, slot: np.ndarray) -> np.ndarray:
+            at = array.sa[slot]
+            k = shared(r, at)
+            return (q[r] + k >= end[r]) | (array.code[np.minimum(at + k, n)] > query[np.minimum(q[r] + k, len(query) - 1)])
+
+        place = bisect(lo, hi, not_less)
+        docs, size = documents_in(array, of, lo, hi)
+        s, d = np.repeat(np.arange(len(own)), size), docs
+        # the array's slots document by document
+        key = of[array.sa] * n + np.arange(n)
+        key.sort()
+        spot = array.sa[key % n]
+        mid, a, b = (np.searchsorted(key, d * n + x[s]) for x in (place, lo, hi))
+        best = np.zeros(len(s), np.int64)
+        for at, ok in ((mid - 1, mid > a), (mid, mid < b)):
+            best[ok] = np.maximum(best[ok], shared(s[ok], spot[at[ok]]))
+        group = self.item[own[s]] * (int(of.max()) + 1) + d
+        order = np.lexsort((-best, group))
+        lead = np.flatnonzero(np.r_[True, group[order][1:] != group[order][:-1]])
+        top = np.empty(len(s), np.int64)
+        top[order] = np.repeat(best[order][lead], np.diff(np.r_[lead, len(s)]))
+        s, d, best, mid, a, b, group = (x[best == top] for x in (s, d, best, mid, a, b, group))
+
+        def same(r: np.ndarray, k: np.ndarray) -> np.ndarray:
+            fits = spot[k] + best[r] <= n
+            return fits & (self.sequence.hash(q[s[r]], best[r]) == shard.hash(np.where(fits, spot[k], 0), np.where(fits, best[r], 0)))
+
+        # the document's places with the whole match lie side by side; the earliest is wanted
+        a, b = bisect(a, mid, same), bisect(mid, b, lambda r, k: ~same(r, k))
+        earliest = np.minimum.reduceat(np.append(spot, n), np.c_[a, b].ravel())[::2]
+        order = np.lexsort((q[s], earliest, group))
+        win = order[np.r_[True, group[order][1:] != group[order][:-1]]]
+        item = self.item[own[s[win]]]
+        return np.stack([d[win], item, best[win], earliest[win] - first[d[win]], q[s[win]] - self.first[item]])
+
+
+def spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the interval, number in it) for all numbers of the intervals [lo, hi)."""
+    size = hi - lo
+    row = np.repeat(np.arange(len(lo)), size)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + lo[row]
+
+
+def documents_in(array: SuffixArray, of: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The documents of each interval, one after the other, and their numbers. Equal intervals are looked at once, and those of one
+    depth don't overlap."""
+    doc = of[array.sa]
+    order = np.argsort(doc, kind="stable")
+    before = np.full(len(doc), -1, np.int64)  # the slot before of the same document
+    again = doc[order][1:] == doc[order][:-1]
+    before[order[1:][again]] = order[:-1][again]
+    kinds, kind = np.unique(np.c_[lo, hi], axis=0, return_inverse=True)
+    row, slot = spread(kinds[:, 0], kinds[:, 1])
+    new = before[slot] < kinds[row, 0]
+    row, slot = row[new], slot[new]
+    begin = np.searchsorted(row, np.arange(len(kinds) + 1))
+    kind = kind.ravel()
+    _, at = spread(begin[kind], begin[kind + 1])
+    return doc[slot[at]], np.diff(begin)[kind]
 
 
 def benches(benchmark: DataFrame, min_words: int, least_words: int) -> list[Bench]:
@@ -222,4 +352,6 @@ runs AS (
 )
 SELECT doc_id, item_id, words, doc_word, doc_word - diagonal AS item_word FROM runs WHERE words >= least(13, n)
 QUALIFY row_number() OVER (PARTITION BY dr, br ORDER BY words DESC, doc_word, doc_word - diagonal) = 1
+UNION ALL SELECT doc_id, item_id, len(b.w), 0, 0
+FROM (SELECT doc_id, {_WORDS} AS w FROM documents) d JOIN (SELECT item_id, {_WORDS} AS w FROM benchmark) b ON d.w = b.w WHERE len(b.w) BETWEEN 1 AND 4
 """
