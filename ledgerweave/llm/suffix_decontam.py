@@ -224,9 +224,9 @@ class Bench:
         place = bisect(lo, hi, not_less)
         docs, size = documents_in(array, of, lo, hi)
         s, d = np.repeat(np.arange(len(own)), size), docs
-        # the array's slots document by document
-        key = of[array.sa] * n + np.arange(n)
-        key.sort()
+        # the array's slots in the intervals, document by document
+        slot = np.unique(spread(*np.unique(np.c_[lo, hi], axis=0).T)[1])
+        key = np.sort(of[array.sa[slot]] * n + slot)
         spot = array.sa[key % n]
         mid, a, b = (np.searchsorted(key, d * n + x[s]) for x in (place, lo, hi))
         best = np.zeros(len(s), np.int64)
@@ -262,19 +262,14 @@ def spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def documents_in(array: SuffixArray, of: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The documents of each interval, one after the other, and their numbers. Equal intervals are looked at once, and those of one
     depth don't overlap."""
-    doc = of[array.sa]
-    order = np.argsort(doc, kind="stable")
-    before = np.full(len(doc), -1, np.int64)  # the slot before of the same document
-    again = doc[order][1:] == doc[order][:-1]
-    before[order[1:][again]] = order[:-1][again]
     kinds, kind = np.unique(np.c_[lo, hi], axis=0, return_inverse=True)
     row, slot = spread(kinds[:, 0], kinds[:, 1])
-    new = before[slot] < kinds[row, 0]
-    row, slot = row[new], slot[new]
-    begin = np.searchsorted(row, np.arange(len(kinds) + 1))
+    docs = int(of.max()) + 1
+    seen = np.unique(row * docs + of[array.sa[slot]])
+    begin = np.searchsorted(seen, np.arange(len(kinds) + 1) * docs)
     kind = kind.ravel()
     _, at = spread(begin[kind], begin[kind + 1])
-    return doc[slot[at]], np.diff(begin)[kind]
+    return seen[at] % docs, np.diff(begin)[kind]
 
 
 def benches(benchmark: DataFrame, min_words: int, least_words: int) -> list[Bench]:
