@@ -55,6 +55,17 @@ def drop_saved(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Shards beyond this number share partitions, so that a shuffle has no more than so many.
+MOST_PARTITIONS = 65_536
+
+
+def by_shard(df: DataFrame, column: str, shards: int, *order: str) -> DataFrame:
+    """Every shard in one partition, and there together, in the given order; up to MOST_PARTITIONS shards each has one of its own."""
+    parts = max(1, min(shards, MOST_PARTITIONS))
+    own = F.col(column) if parts == shards else F.expr(f"cast(cast(`{column}` as long) * {parts} div {shards} as int)")
+    return df.repartitionById(parts, own).sortWithinPartitions(column, *order)
+
+
 def text_bytes(name: str = "text") -> Column:
     return F.coalesce(F.octet_length(F.col(name)), F.lit(0)).cast("long")
 

@@ -9,6 +9,11 @@ that the halves get shares of exact size, drawn without replacement. A leaf, i.e
 disjoint ranges of every source's permuted blocks. Within a shard the rows are put in the order of
 another keyed hash.
 
+The tree is a table of (node, source, blocks) that is split LEVELS levels a round, each node in a task of its own, so that
+neither the driver nor a worker ever holds all of it. What rows need of it, the shards of the few blocks that their bucket of
+the permutation covers, is joined to the buckets, before the rows are. There are ceil(rows / `shard_rows`) shards, and
+`least_shards` at least, as far as there are blocks: as many readers get one each.
+
 Quotas: with weights w and rows n of the sources, a source gives min(n, level * w); what it is short of its share goes to
 the others in proportion to their weights, as the level is what adds up to the total. The total may be stated. Otherwise the
 level follows from the bounds n / w at which the sources run short: it is their geometric mean over the scarcest rows, i.e. over the
@@ -16,12 +21,12 @@ sources of least bound that hold the share `scarce` of all rows, where the rows
 So scarce sources with that share or more bind the total, and the weights are met exactly; with fewer rows they give what they
 have and bind it the less the fewer rows they hold. The level is continuous in the counts, and splitting a source in
 parts of the same bound doesn't change it. Fractions go to the largest remainders, ties to the source that sorts
-first. Default weights are n ** `alpha` (temperature sampling).
+first. Default weights are n ** `alpha` (temperature sampling). The sources' names and counts go through the driver.
 
-Defined results: a null source is a source of its own. Equal rows have equal hashes and are told
-apart by their number among their equals. A source that has no weight gives nothing, a weight for a
-source without rows is left out. An empty table gives an empty result. Columns of any name pass
-through; helper columns start with `__lw_`.
+Defined results: a null source is a source of its own. Rows with equal doc_id, text and source are told apart by a hash of
+their other columns (all but maps), and rows equal in all of these by a number among their equals. A source that has no
+weight gives nothing, a weight for a source without rows is left out. An empty table gives an empty result. Columns of any
+name pass through; helper columns start with `__lw_`.
 """
 
 from __future__ import annotations
@@ -29,12 +34,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerweave.llm.common import P, save
+from ledgerweave.llm.common import P, by_shard, save
 
-BUCKET_ROWS, BROADCAST_SOURCES = 2048, 100_000
+BUCKET_ROWS, BROADCAST_SOURCES, LEVELS = 2048, 100_000, 10
 NULL_SOURCE = "\0null"
 
 
@@ -73,56 +79,51 @@ def quotas(counts: dict[str, int], weights: dict[str, float] | None = None, *, a
     return {s: min(n, counts[s]) for s, n in out.items()}
 
 
-class SplitTree:
-    """Deals blocks[s] blocks of each source to `shards` shards; every node's draw depends on the seed and the node alone."""
-
-    def __init__(self, blocks: list[int], shards: int, seed: int):
-        self.shards, self.seed = max(1, shards), seed
-        self.held = {(0, self.shards): np.array(blocks, np.int64)}
-
-    def split(self, lo: int, hi: int) -> np.ndarray:
-        """Blocks of every source that go to the left half of the node over the shards lo..hi-1."""
-        mid = (lo + hi) // 2
-        if (lo, mid) not in self.held:
-            own = self.held[lo, hi]
-            rng = np.random.default_rng([self.seed, lo, hi])
-            take = (int(own.sum()) * (mid - lo) + (hi - lo) // 2) // (hi - lo)
-            left = draw(rng, own, take)
-            self.held[lo, mid], self.held[mid, hi] = left, own - left
-        return self.held[lo, mid]
-
-    def shard_of(self, source: np.ndarray, block: np.ndarray) -> np.ndarray:
-        """The shard of block number `block` of source number `source`; both are walked down the tree together."""
-        out = np.zeros(len(source), np.int32)
-        todo = [(0, self.shards, np.arange(len(source)), block.astype(np.int64))]
+def draw(rng: np.random.Generator, own: np.ndarray, take: int) -> np.ndarray:
+    """One multivariate-hypergeometric draw of `take` units, exact for any numbers. Every unit is chosen independently first,
+    which makes any set of so many chosen ones as likely as any other; those that are too many or too few are then
+    given back, or added, one by one at random."""
+    total = int(own.sum())
+    if take <= 0 or take >= total:
+        return own * (take > 0)
+    out = rng.binomial(own, take / total)
+    over = int(out.sum()) - take
+    if over:
+        among = out if over > 0 else own - out
+        picked = rng.choice(int(among.sum()), abs(over), replace=False, shuffle=False)
+        out -= np.sign(over) * np.bincount(np.searchsorted(np.cumsum(among), picked, "right"), minlength=len(own))
+    return out
+
+
+def split(lo: int, hi: int, own: np.ndarray, seed: int) -> tuple[int, np.ndarray]:
+    """The first shard of the right half of the node over the shards lo..hi-1, and each source's blocks that go to the left half;
+    the draw depends on the seed, the node and its blocks alone."""
+    mid = (lo + hi) // 2
+    return mid, draw(np.random.default_rng([seed, lo, hi]), own, (int(own.sum()) * (mid - lo) + (hi - lo) // 2) // (hi - lo))
+
+
+def deal(spark: SparkSession, blocks: list[int], shards: int, seed: int) -> DataFrame:
+    """(i, shard, first, n): the n blocks from `first` on of source number i are the shard's."""
+    kind = "lo int, hi int, i int, first long, n long"
+    nodes = spark.createDataFrame([(0, shards, i, 0, n) for i, n in enumerate(blocks) if n], kind)
+
+    def down(node: pd.DataFrame) -> pd.DataFrame:
+        node = node.sort_values("i")
+        name, out = node["i"].to_numpy(), []
+        todo = [(int(node["lo"].iloc[0]), int(node["hi"].iloc[0]), 0, np.arange(len(name)), node["first"].to_numpy(), node["n"].to_numpy())]
         while todo:
-            lo, hi, rows, at = todo.pop()
-            if not len(rows):
-                continue
-            if hi - lo == 1:
-                out[rows] = lo
+            lo, hi, level, own, first, n = todo.pop()
+            own, first, n = own[n > 0], first[n > 0], n[n > 0]
+            if hi - lo == 1 or level == LEVELS:
+                out.append(pd.DataFrame({"lo": lo, "hi": hi, "i": name[own], "first": first, "n": n}))
                 continue
-            left, mid = self.split(lo, hi), (lo + hi) // 2
-            goes = at < left[source[rows]]
-            todo.append((lo, mid, rows[goes], at[goes]))
-            todo.append((mid, hi, rows[~goes], at[~goes] - left[source[rows[~goes]]]))
-        return out
+            mid, left = split(lo, hi, n, seed)
+            todo += [(lo, mid, level + 1, own, first, left), (mid, hi, level + 1, own, first + left, n - left)]
+        return pd.concat(out)
 
-
-def draw(rng: np.random.Generator, own: np.ndarray, take: int) -> np.ndarray:
-    """One multivariate-hypergeometric draw, as conditional univariate ones (numpy's limit on a
-    population is 1e9; beyond it the normal approximation with exact totals stands in)."""
-    out, rest, left = np.zeros(len(own), np.int64), int(own.sum()), take
-    for i, n in enumerate(own):
-        others = rest - int(n)
-        if rest < 1_000_000_000:
-            k = int(rng.hypergeometric(int(n), others, left)) if n and left else 0
-        else:
-            p = left / rest
-            sd = (int(n) * p * (1 - p) * others / max(1, rest - 1)) ** 0.5
-            k = min(int(n), left, max(left - others, 0, round(int(n) * p + sd * float(rng.standard_normal()))))
-        out[i], rest, left = k, others, left - k
-    return out
+    for _ in range(max(1, -(-(shards - 1).bit_length() // LEVELS))):
+        nodes = save(spark, nodes.groupBy("lo", "hi").applyInPandas(down, kind), "dealt")
+    return nodes.select("i", F.col("lo").alias("shard"), "first", "n")
 
 
 def keyed_hash(docs: DataFrame, seed: int) -> Column:
@@ -130,51 +131,61 @@ def keyed_hash(docs: DataFrame, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), F.col("doc_id"), F.xxhash64("text"), F.col("source"))
 
 
+def rest_hash(docs: DataFrame, seed: int) -> Column:
+    """A hash of all other columns but maps, which can't be hashed."""
+    return F.xxhash64(F.lit(seed), *(F.col(f"`{c}`") for c, kind in docs.dtypes if c not in ("doc_id", "text", "source") and "map<" not in kind))
+
+
 def mix(spark: SparkSession, docs: DataFrame, **more) -> DataFrame:
     """docs, mixed: all of its columns, with `__lw_shard` and `__lw_place`, the shard and a row's sort key within it."""
     return dealt(spark, docs, **more)[0]
 
 
-def dealt(spark: SparkSession, docs: DataFrame, *, weights: dict[str, float] | None = None, alpha: float = 0.5, scarce: float = 0.05, total: int | None = None, block: int = 32, shard_rows: int = 16384, seed: int = 17) -> tuple[DataFrame, int]:
+def dealt(spark: SparkSession, docs: DataFrame, *, weights: dict[str, float] | None = None, alpha: float = 0.5, scarce: float = 0.05, total: int | None = None, block: int = 16, shard_rows: int = 16384, least_shards: int = 16, seed: int = 17) -> tuple[DataFrame, int]:
     """The mixture, see mix(), and its number of shards."""
     source = F.coalesce(F.col("source").cast("string"), F.lit(NULL_SOURCE))
     counts = {r[0]: r[1] for r in docs.select(source.alias("s")).groupBy("s").count().toLocalIterator()}
     quota = quotas(counts, weights, alpha=alpha, scarce=scarce, total=total)
-    names = sorted(quota)
+    names = sorted(s for s in quota if quota[s])
     drawn = sum(quota.values())
-    empty = docs.withColumns({P + "shard": F.lit(0), P + "place": F.lit(0).cast("long")})
     if not drawn:
-        return empty.where("false"), 1
+        return docs.withColumns({P + "shard": F.lit(0), P + "place": F.lit(0).cast("long")}).where("false"), 1
     blocks = [-(-quota[s] // block) for s in names]
-    tree = SplitTree(blocks, -(-drawn // shard_rows), seed)
+    shards = max(-(-drawn // shard_rows), min(least_shards, sum(blocks)))
     info = spark.createDataFrame([(s, i, quota[s], max(1, counts[s] // BUCKET_ROWS)) for i, s in enumerate(names)], f"{P}s string, {P}i int, {P}quota long, {P}buckets long")
-    if len(names) <= BROADCAST_SOURCES:
-        info = F.broadcast(info)
-    keyed = docs.withColumns({P + "s": source, P + "h": keyed_hash(docs, seed)}).join(info, P + "s")
-    # the permutation's leading bits choose a bucket of bounded size; only buckets' counts are summed along a source
-    keyed = keyed.withColumn(P + "bucket", F.expr(f"shiftrightunsigned({P}h, 32) * {P}buckets div 4294967296"))
-    before = keyed.groupBy(P + "i", P + "bucket").agg(F.count(F.lit(1)).alias(P + "n")).withColumn(P + "before", F.coalesce(F.sum(P + "n").over(Window.partitionBy(P + "i").orderBy(P + "bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    before = save(spark, before.drop(P + "n"), "bucket-offsets")
-    reached = before.join(info.select(P + "i", P + "quota"), P + "i").where(f"{P}before < {P}quota").drop(P + "quota")
-    order = Window.partitionBy(P + "i", P + "bucket").orderBy(P + "h")
-    ranked = keyed.join(reached.hint("shuffle_hash"), [P + "i", P + "bucket"]).withColumn(P + "r", F.row_number().over(order) - 1 + F.col(P + "before")).where(f"{P}r < {P}quota")
-
-    @F.pandas_udf("int")
-    def shard_of(i, r):
-        import pandas as pd
-
-        return pd.Series(tree.shard_of(i.to_numpy(np.int64), r.to_numpy(np.int64) // block))
-
-    placed = ranked.withColumn(P + "shard", shard_of(F.col(P + "i").cast("long"), F.col(P + "r").cast("long"))).withColumn(P + "place", F.xxhash64(F.lit(seed + 1), P + "h", P + "r"))
-    return placed.select(*docs.columns, P + "shard", P + "place"), tree.shards
+    few = F.broadcast if len(names) <= BROADCAST_SOURCES else lambda df: df
+
+    def keyed(info: DataFrame) -> DataFrame:
+        out = docs.withColumns({P + "s": source, P + "h": keyed_hash(docs, seed)}).join(few(info), P + "s")
+        # the permutation's leading bits choose a bucket of bounded size
+        return out.withColumn(P + "bucket", F.expr(f"shiftrightunsigned({P}h, 32) * {P}buckets div 4294967296"))
+
+    # rows before each bucket: summed along runs of buckets, and within each run
+    runs = Window.partitionBy(P + "i").orderBy(P + "run").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy(P + "i", P + "run").orderBy(P + "bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = save(spark, keyed(info).groupBy(P + "i", P + "bucket").agg(F.count(F.lit(1)).alias(P + "n")).withColumn(P + "run", F.expr(f"{P}bucket div 4096")), "bucket-sizes")
+    start = sizes.groupBy(P + "i", P + "run").agg(F.sum(P + "n").alias(P + "m")).select(P + "i", P + "run", F.coalesce(F.sum(P + "m").over(runs), F.lit(0)).alias(P + "start"))
+    before = sizes.join(start, [P + "i", P + "run"]).withColumn(P + "before", F.col(P + "start") + F.coalesce(F.sum(P + "n").over(inner), F.lit(0)))
+    before = before.join(few(info.select(P + "i", P + "quota")), P + "i").where(f"{P}before < {P}quota")
+    # the shards of the blocks that each bucket covers
+    covers = before.select(P + "i", P + "bucket", P + "before", F.explode(F.expr(f"sequence({P}before div {block}, (least({P}before + {P}n, {P}quota) - 1) div {block})")).alias(P + "b"))
+    owned = deal(spark, blocks, shards, seed).select(F.col("i").alias(P + "i"), F.explode(F.expr("sequence(first, first + n - 1)")).alias(P + "b"), F.col("shard").alias(P + "shard"))
+    reached = covers.join(owned, [P + "i", P + "b"]).groupBy(P + "i", P + "bucket", P + "before").agg(F.transform(F.array_sort(F.collect_list(F.struct(P + "b", P + "shard"))), lambda x: x[P + "shard"]).alias(P + "shards"))
+    reached = save(spark, reached, "bucket-shards")
+    # rows in buckets beyond the quota go before anything is shuffled
+    last = reached.groupBy(P + "i").agg(F.max(P + "bucket").alias(P + "last"))
+    wanted = keyed(info.join(few(last), P + "i")).where(f"{P}bucket <= {P}last").drop(P + "last")
+    order = Window.partitionBy(P + "i", P + "bucket").orderBy(P + "h", rest_hash(docs, seed))
+    ranked = wanted.join(reached.hint("shuffle_hash"), [P + "i", P + "bucket"]).withColumn(P + "r", F.row_number().over(order) - 1 + F.col(P + "before")).where(f"{P}r < {P}quota")
+    placed = ranked.withColumn(P + "shard", F.expr(f"{P}shards[cast({P}r div {block} - {P}before div {block} as int)]")).withColumn(P + "place", F.xxhash64(F.lit(seed + 1), P + "h", P + "r"))
+    return placed.select(*(F.col(f"`{c}`") for c in docs.columns), P + "shard", P + "place"), shards
 
 
 def shuffled(mixed: DataFrame, shards: int) -> DataFrame:
-    """Every shard's rows in a partition of its own, in their places."""
-    return mixed.repartitionById(shards, F.col(P + "shard")).sortWithinPartitions(P + "place")
+    """Every shard's rows together, in their places."""
+    return by_shard(mixed, P + "shard", shards, P + "place")
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, **more) -> DataFrame:
     """docs, mixed and shuffled: the columns of docs only."""
-    columns = docs.columns
-    return shuffled(*dealt(spark, docs, **more)).select(*columns)
+    return shuffled(*dealt(spark, docs, **more)).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -46,20 +46,63 @@ def test_a_stated_total_is_met():
     assert sum(mixing.quotas(n, total=777).values()) == 777
 
 
+def dealt_in_memory(blocks, shards, seed):
+    """Shard of every (source, block): the tree walked recursively in memory."""
+    out = {}
+
+    def walk(lo, hi, held):
+        if hi - lo == 1:
+            out.update({(i, b): lo for i, own in enumerate(held) for b in own})
+            return
+        sizes = np.array([len(x) for x in held])
+        some = np.flatnonzero(sizes)
+        mid, left = mixing.split(lo, hi, sizes[some], seed)
+        take = dict(zip(some.tolist(), left.tolist()))
+        walk(lo, mid, [x[: take.get(i, 0)] for i, x in enumerate(held)])
+        walk(mid, hi, [x[take.get(i, 0) :] for i, x in enumerate(held)])
+
+    walk(0, shards, [list(range(n)) for n in blocks])
+    return out
+
+
 @pytest.mark.parametrize("shards", [1, 2, 7, 16])
-def test_tree_deals_every_block_once(shards):
+def test_tree_deals_every_block_once(spark, shards, monkeypatch):
     blocks = [50, 0, 13, 200]
-    tree = mixing.SplitTree(blocks, shards, 3)
-    source = np.repeat(np.arange(4), blocks)
-    block = np.concatenate([np.arange(b) for b in blocks])
-    shard = tree.shard_of(source, block)
-    sizes = np.bincount(shard, minlength=shards)
-    assert sizes.sum() == 263 and sizes.max() - sizes.min() <= shards.bit_length()
-    # the same whatever rows are asked for together
-    again = mixing.SplitTree(blocks, shards, 3)
-    assert all(again.shard_of(source[i : i + 1], block[i : i + 1])[0] == shard[i] for i in range(0, 263, 17))
-    if shards > 1:
-        assert len(set(shard[source == 3])) > 1
+    monkeypatch.setattr(mixing, "LEVELS", 2)
+    got = {}
+    for r in mixing.deal(spark, blocks, shards, 3).collect():
+        for b in range(r["first"], r["first"] + r["n"]):
+            assert (r["i"], b) not in got
+            got[r["i"], b] = r["shard"]
+    assert got == dealt_in_memory(blocks, shards, 3) and len(got) == 263
+    sizes = np.bincount(list(got.values()), minlength=shards)
+    assert sizes.max() - sizes.min() <= shards.bit_length()
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_query_equals_brute_force(spark, sf):
+    """The whole query: quotas, permutation, blocks, shards and order, in memory."""
+    from ledgerweave.llm import queries
+
+    docs = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet")
+    rows = docs.select("doc_id", "source", mixing.keyed_hash(docs, 17).alias("h"), mixing.rest_hash(docs, 17).alias("g")).collect()
+    per = {}
+    for r in rows:
+        per.setdefault(r["source"], []).append((r["h"] % 2**64, r["g"], r["doc_id"]))
+    quota = mixing.quotas({s: len(x) for s, x in per.items()})
+    names = sorted(quota)
+    shards = max(-(-sum(quota.values()) // 16384), min(16, sum(-(-quota[s] // 16) for s in names)))
+    shard = dealt_in_memory([-(-quota[s] // 16) for s in names], shards, 17)
+    want = {}
+    for i, s in enumerate(names):
+        # the buckets follow the hash's leading bits, so the order is that of the unsigned hash by bucket, signed within it
+        n = max(1, len(per[s]) // mixing.BUCKET_ROWS)
+        order = sorted(per[s], key=lambda x: ((x[0] >> 32) * n >> 32, x[0] - 2**64 if x[0] >= 2**63 else x[0], x[1]))
+        want |= {d: shard[i, k // 16] for k, (_, _, d) in enumerate(order[: quota[s]])}
+    out = queries.op7_mixing(spark, f"/root/testdata/sf{sf}").collect()
+    assert len(out) == len(want) and {r["doc_id"]: r["shard"] for r in out} == want
+    assert len(set(want.values())) == shards >= 16
+    assert [(r["shard"], r["place"]) for r in out] == sorted((r["shard"], r["place"]) for r in out)
 
 
 def test_draws_have_the_right_law():
@@ -75,13 +118,13 @@ def test_draws_have_the_right_law():
 def test_mixture(spark):
     rows = [(i, f"text {i}", "en", "big" if i % 10 else "small", 1) for i in range(3000)]
     docs = documents(spark, rows)
-    out = mixing.mix(spark, docs, weights={"big": 1, "small": 1}, block=8, shard_rows=64).collect()
+    out = mixing.mix(spark, docs, weights={"big": 1, "small": 1}, block=8, shard_rows=64, least_shards=1).collect()
     assert Counter(r["source"] for r in out) == {"big": 300, "small": 300}
     assert len({r["doc_id"] for r in out}) == 600
     per = Counter((r[P + "shard"], r["source"]) for r in out)
     shards = {s for s, _ in per}
     assert len(shards) == 10 and max(sum(per[s, x] for x in ("big", "small")) for s in shards) <= 64 + 4 * 8
-    again = mixing.mix(spark, docs.repartition(7), weights={"big": 1, "small": 1}, block=8, shard_rows=64).collect()
+    again = mixing.mix(spark, docs.repartition(7), weights={"big": 1, "small": 1}, block=8, shard_rows=64, least_shards=1).collect()
     assert sorted((r["doc_id"], r[P + "shard"], r[P + "place"]) for r in out) == sorted((r["doc_id"], r[P + "shard"], r[P + "place"]) for r in again)
     # a random draw, not the first rows
     assert 0.35 < sum(r["doc_id"] < 1500 for r in out) / 600 < 0.65
@@ -89,7 +132,7 @@ def test_mixture(spark):
 
 def test_shuffled_within_shards(spark):
     docs = documents(spark, [(i, f"text {i}", "en", f"s{i % 4}", 1) for i in range(400)])
-    out = mixing.shuffled(*mixing.dealt(spark, docs, weights=dict.fromkeys(("s0", "s1", "s2", "s3"), 1), shard_rows=100)).collect()
+    out = mixing.shuffled(*mixing.dealt(spark, docs, weights=dict.fromkeys(("s0", "s1", "s2", "s3"), 1), shard_rows=100, least_shards=1)).collect()
     assert len(out) == 400
     runs = [r[P + "shard"] for r in out]
     assert sum(a != b for a, b in zip(runs, runs[1:])) == 3
@@ -102,3 +145,21 @@ def test_awkward_rows(spark):
     assert out.count() == docs.count() and out.columns == [*docs.columns, P + "shard", P + "place"]
     assert mixing.mix(spark, docs.where("false")).count() == 0
     assert mixing.mixed_documents(spark, docs, alpha=1.0).columns == docs.columns
+
+
+def test_rows_that_differ_in_other_columns_only(spark):
+    """They don't tie: which of them is drawn doesn't depend on the run."""
+    docs = documents(spark, [(1, "a text", "en", "s", i) for i in range(40)] + [(2, "b", "en", "t", 1)] * 5)
+    once, again = (sorted((r["doc_id"], r["n_chars"], r[P + "shard"]) for r in mixing.mix(spark, d, total=20, block=2).collect()) for d in (docs, docs.repartition(5)))
+    assert once == again and len(once) == 20
+
+
+def test_many_shards_share_partitions(spark, monkeypatch):
+    from ledgerweave.llm import common
+
+    monkeypatch.setattr(common, "MOST_PARTITIONS", 3)
+    docs = documents(spark, [(i, f"text {i}", "en", "s", 1) for i in range(400)])
+    out = mixing.shuffled(*mixing.dealt(spark, docs, alpha=1.0))
+    assert out.rdd.getNumPartitions() == 3
+    runs = [r[P + "shard"] for r in out.collect()]
+    assert runs == sorted(runs) and len(set(runs)) == 16
