@@ -43,11 +43,10 @@ class ByteCnn:
     overlap: int
     threshold: float = 0.5
 
-    def pooled(self, data: np.ndarray, start: np.ndarray, length: np.ndarray, want_place: bool = False):
-        """Of each chunk, the largest response of every filter, at least 0; with want_place, also where it was."""
+    def pooled(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Of each chunk, the largest response of every filter, at least 0."""
         width, _, n = self.filters.shape
         out = np.zeros((len(start), n), np.float32)
-        place = np.zeros((len(start), n), np.int64) if want_place else None
         a = 0
         while a < len(start):
             b = max(a + 1, int(np.searchsorted(start, start[a] + BLOCK)))
@@ -61,29 +60,31 @@ class ByteCnn:
                 response += self.filters[k].take(body[k : k + m], axis=0)
             first = np.minimum(start[a:b] - lo, m - 1)
             last = np.clip(start[a:b] + length[a:b] - lo - width + 1, first + 1, m)
-            if want_place:
-                for i, (x, y) in enumerate(zip(first, last)):
-                    at = response[x:y].argmax(0)
-                    place[a + i] = at + x + lo
-                    out[a + i] = response[x:y][at, np.arange(n)]
-            else:
-                cuts = np.empty(2 * (b - a), np.int64)
-                cuts[::2], cuts[1::2] = first, last
-                if cuts[-1] == m:
-                    out[a:b] = np.maximum.reduceat(response, cuts[:-1], axis=0)[::2]
-                else:
-                    out[a:b] = np.maximum.reduceat(response, cuts, axis=0)[::2]
+            cuts = np.empty(2 * (b - a), np.int64)
+            cuts[::2], cuts[1::2] = first, last
+            out[a:b] = np.maximum.reduceat(response, cuts[:-1] if cuts[-1] == m else cuts, axis=0)[::2]
             a = b
         # a chunk shorter than the filters goes on with zero bytes, not with its neighbour
         for i in np.flatnonzero(length < width):
             piece = np.zeros(width, np.int64)
             piece[: length[i]] = data[start[i] : start[i] + length[i]]
             out[i] = self.filters[np.arange(width), piece].sum(0)
-            if want_place:
-                place[i] = start[i]
         out += self.bias
-        np.maximum(out, 0, out=out)
-        return (out, place) if want_place else out
+        return np.maximum(out, 0, out=out)
+
+    def pooled_at(self, pieces: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """pooled() of the rows of a byte matrix, all at once, and where in its row each response was. length: bytes of each row
+        that count; the rest of it is zero."""
+        width, _, n = self.filters.shape
+        m = pieces.shape[1] - width + 1
+        response = self.filters[0].take(pieces[:, :m], axis=0, mode="clip")
+        for k in range(1, width):
+            response += self.filters[k].take(pieces[:, k : k + m], axis=0, mode="clip")
+        response[np.arange(m) > np.maximum(length - width, 0)[:, None]] = -np.inf
+        place = response.argmax(1)
+        best = np.take_along_axis(response, place[:, None, :], 1)[:, 0]
+        return np.maximum(best + self.bias, 0), place
+
 
     def chunks(self, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text number, start, length) of every chunk; the last one of a text ends where the text ends."""
@@ -100,6 +101,19 @@ class ByteCnn:
         short = np.log2(np.maximum(length, 1) / self.chunk).astype(np.float32)[:, None] / 4
         return np.concatenate([pooled, pooled * short, short], axis=1)
 
+    def gradients(self, pieces: np.ndarray, length: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Of the weighted logistic loss of some chunks, see pooled_at(), by filters, bias, weight and offset."""
+        width, _, n = self.filters.shape
+        pooled, place = self.pooled_at(pieces, length)
+        x = self.inputs(pooled, length)
+        g = (1 / (1 + np.exp(-np.clip(x @ self.weight + self.offset, -30, 30))) - label) * weight
+        up = g[:, None] * (self.weight[:n] + x[:, -1:] * self.weight[n:-1]) * (pooled > 0)
+        out, row = np.zeros(width * 256 * n), np.arange(len(pieces))[:, None]
+        for k in range(width):
+            slot = (pieces[row, place + k].astype(np.int64) + k * 256) * n + np.arange(n)
+            out += np.bincount(slot.ravel(), up.ravel(), len(out))
+        return out.reshape(-1, n).astype(np.float32), up.sum(0), x.T @ g, float(g.sum())
+
     def scores(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
         return (self.inputs(self.pooled(data, start, length), length) @ self.weight + self.offset).astype(np.float64)
 
@@ -139,13 +153,13 @@ def train(texts: list[str], quality: list[int], *, filters: int = 24, width: int
     net = ByteCnn(rng.normal(0, 0.25, (width, 256, filters)).astype(np.float32), np.zeros(filters, np.float32), rng.normal(0, 0.1, 2 * filters + 1).astype(np.float32), 0.0, np.array([1.0, 0.0, 0.0]), chunk, overlap)
     raw = [texts[i].encode() for i in fit]
     offs = np.r_[0, np.cumsum([len(x) for x in raw])].astype(np.int64)
-    data = np.frombuffer(b"".join(raw), np.uint8)
+    padded = np.frombuffer(b"".join(raw) + bytes(chunk + width), np.uint8)
     text, start, length = net.chunks(offs)
     label = y[fit][text]
     balance = np.where(label > 0, 0.5 / max(label.mean(), 1e-6), 0.5 / max(1 - label.mean(), 1e-6)).astype(np.float32)
     flat = net.filters.reshape(-1, filters)
     state = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in (("f", flat), ("b", net.bias), ("w", net.weight))}
-    step, lane = 0, np.arange(filters)
+    step = 0
     for _ in range(epochs):
         perm = rng.permutation(len(text))
         for at in range(0, len(perm), batch):
@@ -154,28 +168,17 @@ def train(texts: list[str], quality: list[int], *, filters: int = 24, width: int
             cut = rng.random(len(own)) < 0.25
             span[cut] = np.minimum(span[cut], rng.integers(12, chunk, int(cut.sum())))
             begin = start[own] + rng.integers(0, length[own] - span + 1)
-            x, place = [], []
-            for i in range(len(own)):
-                one, two = net.pooled(data, begin[i : i + 1], span[i : i + 1], True)
-                x.append(one)
-                place.append(two)
-            pooled, place = np.concatenate(x), np.concatenate(place)
-            x = net.inputs(pooled, span)
-            z = x @ net.weight + net.offset
-            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label[own]) * balance[own] / len(own)
-            short = x[:, -1:]
-            up = g[:, None] * (net.weight[:filters] + short * net.weight[filters:-1]) * (pooled > 0)
-            grad_f = np.zeros_like(flat)
-            for k in range(width):
-                spot = np.minimum(place + k, len(data) - 1)
-                np.add.at(grad_f, (k * 256 + data[spot].astype(np.int64), np.broadcast_to(lane, spot.shape)), up)
+            wide = max(width, int(span.max()))
+            pieces = padded[begin[:, None] + np.arange(wide)]
+            pieces[np.arange(wide) >= span[:, None]] = 0
+            grad_f, grad_b, grad_w, grad_o = net.gradients(pieces, span, label[own], balance[own] / len(own))
             step += 1
-            for key, value, grad in (("f", flat, grad_f), ("b", net.bias, up.sum(0)), ("w", net.weight, x.T @ g + 1e-4 * net.weight)):
+            for key, value, grad in (("f", flat, grad_f), ("b", net.bias, grad_b), ("w", net.weight, grad_w + 1e-4 * net.weight)):
                 m, v = state[key]
                 m += 0.1 * (grad - m)
                 v += 0.001 * (grad * grad - v)
                 value -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-            net.offset -= rate * float(g.sum())
+            net.offset -= rate * grad_o
     arr = pa.array([texts[i] for i in held])
     pairs = []
     for i, j, body, off in slices(arr):
@@ -196,7 +199,7 @@ def train(texts: list[str], quality: list[int], *, filters: int = 24, width: int
 
 def fit(documents: DataFrame, labels: DataFrame, *, rows_per_class: int = 1500, sample_bytes: int = 24 << 20, seed: int = 7, **more) -> ByteCnn | None:
     """Trains on the labelled rows of least hash, at most `rows_per_class` of either class and
-    `sample_bytes` of text in all: these two bounds hold for any size of the corpus."""
+    `sample_bytes` of text in all: these two bounds hold for any size of the corpus. A row that doesn't fit is passed over."""
     own = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("quality").alias("q2")).where("q = q2 and q in (0, 1)")
     rank = F.xxhash64(F.lit(seed), "doc_id")
     picked = None
@@ -206,9 +209,10 @@ def fit(documents: DataFrame, labels: DataFrame, *, rows_per_class: int = 1500,
     rows = documents.select("doc_id", "text").where("text is not null and text != ''").join(F.broadcast(picked), "doc_id").select("doc_id", "q", "text").orderBy(rank, "doc_id", "q", F.xxhash64("text")).toLocalIterator()
     texts, quality, size = [], [], 0
     for row in rows:
-        size += len(row.text.encode())
-        if texts and size > sample_bytes:
-            break
+        n = len(row.text.encode())
+        if size + n > sample_bytes:  # passed over, as shorter ones after it may fit
+            continue
+        size += n
         texts.append(row.text)
         quality.append(row.q)
     return train(texts, quality, seed=seed, **more)

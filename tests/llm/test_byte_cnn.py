@@ -34,6 +34,58 @@ def test_forward_pass():
     assert n.probabilities(pa.array(texts)) == pytest.approx([brute(n, t) for t in texts], abs=1e-5)
 
 
+def test_gradients_are_those_of_the_loss():
+    n = net()
+    g = np.random.default_rng(4)
+    n.filters, n.bias, n.weight = (x.astype(np.float64) for x in (n.filters, n.bias, n.weight))
+    length = np.array([32, 20, 3, 2, 32])
+    pieces = g.integers(97, 101, (5, 32)).astype(np.uint8)
+    pieces[np.arange(32) >= length[:, None]] = 0
+    label, weight = np.array([0.0, 1, 1, 0, 1]), g.uniform(0.5, 2, 5)
+
+    def loss():
+        z = n.inputs(n.pooled_at(pieces, length)[0], length) @ n.weight + n.offset
+        return float((weight * (np.logaddexp(0, z) - label * z)).sum())
+
+    filters, bias, own, offset = n.gradients(pieces, length, label, weight)
+    flat, h = n.filters.reshape(-1, 4), 1e-5
+    for value, grad in ((flat, filters), (n.bias, bias), (n.weight, own)):
+        spots = list(zip(*np.nonzero(grad)))
+        assert len(spots) > 2
+        for at in spots[:40]:
+            old = value[at]
+            value[at] = old + h
+            more = loss()
+            value[at] = old - h
+            less = loss()
+            value[at] = old
+            assert (more - less) / (2 * h) == pytest.approx(grad[at], rel=1e-3, abs=1e-4)
+    n.offset += h
+    more = loss()
+    n.offset -= 2 * h
+    assert (more - loss()) / (2 * h) == pytest.approx(offset, rel=1e-3, abs=1e-4)
+
+
+def test_pooling_in_rows_equals_pooling_in_texts():
+    n = net()
+    length = np.array([32, 7, 2, 3, 1])
+    data = np.random.default_rng(1).integers(97, 123, 45).astype(np.uint8)
+    start = np.r_[0, np.cumsum(length)[:-1]]
+    pieces = np.zeros((5, 32), np.uint8)
+    for i, (a, k) in enumerate(zip(start, length)):
+        pieces[i, :k] = data[a : a + k]
+    assert n.pooled_at(pieces, length)[0] == pytest.approx(n.pooled(data, start, length), abs=1e-5)
+
+
+def test_rows_too_long_for_the_sample_are_passed_over(spark):
+    docs, labels = corpus(spark, 200)
+    long_ = docs.limit(1).selectExpr("doc_id + 1000000 AS doc_id", "repeat('long words ', 20000) AS text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+    both = docs.unionByName(long_.select(*docs.columns))
+    marked = labels.unionByName(long_.selectExpr("doc_id", "1 AS quality", "0 AS toxic").select(*labels.columns))
+    assert byte_cnn.fit(both, marked, sample_bytes=200_000, epochs=1) is not None
+    assert byte_cnn.fit(both, marked, sample_bytes=100, epochs=1) is None
+
+
 def test_chunks_cover_the_whole_text():
     n = net()
     for size in (1, 31, 32, 33, 56, 57, 500):
