@@ -56,7 +56,7 @@ def op9_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's URL in words, its log odds, and whether it stays."""
-    out = url_filter.score(spark, table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "documents"))
+    out = url_filter.score(spark, table(spark, sf_dir, "pages").select("page_id", "url", "html"), table(spark, sf_dir, "documents"), quality=table(spark, sf_dir, "labels"))
     return out.select("page_id", "url", F.array_join(P + "tokens", " ").alias("words"), F.round(P + "log_odds", 6).alias("log_odds"), F.col(P + "keep").alias("keep"))
 
 

@@ -4,17 +4,21 @@ The labels of a host name (without a leading www, m or blog, and without its pub
 everything that isn't a letter; what remains, often several words run together, is split by Viterbi
 into the words of greatest total probability under a unigram model. Words in paths and queries are
 split the same way; runs of digits become one token. A multinomial naive Bayes model over these
-tokens, host and path apart, gives the log odds that a URL is unwanted.
+tokens, host and path apart, gives the log odds that a URL is unwanted. Every distinct URL is split once.
 
 Training: the unigram model counts the words of all documents and the separate letter runs of all URLs, without those seen less
-than `seldom` times; the words of `unwanted` are always among them. Of the words counted, the model holds those that
-occur anywhere in a letter run of a URL: no other can take part in a split. Naive Bayes is trained on all URLs that carry a label: by
-default, a host is labelled unwanted if one of its letter runs is a word of `unwanted`, and wanted if none of its segmented
-words is. All tokens count: those of greatest count, at most `features`, are sent to the tasks, the others are joined.
+than `seldom` times; the words of `unwanted` are always among them. A word has at most LONGEST letters; longer runs of letters
+are words run together. Of the words counted, the model holds those that
+occur anywhere in a letter run of a URL: no other can take part in a split. Naive Bayes is trained on all URLs that carry a label.
+Labels come from what the pages hold: a byte-level classifier, trained on the documents with known quality, judges the
+text of each page, and one that it rejects marks its URL as unwanted, any other as wanted. A URL whose host has a word of
+`unwanted` is labelled unwanted whatever its page. Without known qualities or pages' html, that list alone gives the labels, and every
+other URL with a host counts as wanted. All tokens count: those of greatest count, at most `features`, are sent to the tasks, the others
+are joined.
 
 Defined results: a null or empty URL has no tokens and gets the prior's log odds; text that isn't a URL is read as
 a host and a path. A character that no word covers is a word of its own, at the cost of an unknown
-letter. Repeated rows get equal results. Without labels of both classes all log odds are 0 and
+letter. A page with null html has no label of its own. Repeated rows get equal results. Without labels of both classes all log odds are 0 and
 nothing is unwanted. An empty table gives an empty result. Columns of any name pass through.
 """
 
@@ -27,15 +31,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ledgerweave.llm import byte_cnn
 from ledgerweave.llm.common import P, save
 from ledgerweave.llm.textnp import slices, words
 
 UNWANTED = ("casino", "pills", "bets", "spam", "ads", "track", "viagra", "porn", "xxx", "lottery", "payday", "phishing", "malware", "warez", "gambling")
-LONGEST = 24
+LONGEST = 32
 _RUNS = re.compile(r"[a-z]+|[0-9]+")
 _URL = re.compile(r"^(?:[a-z][a-z0-9+.-]*:)?(?://)?(?:[^/@]*@)?([^/?#:]*)(?::\d+)?([^#]*)", re.S)
 PREFIXES, SUFFIXES = {"www", "m", "blog", "amp"}, {"com", "org", "net", "edu", "gov", "co", "uk", "de", "fr", "es", "io", "info", "biz", "example"}
@@ -60,6 +64,7 @@ class Segmenter:
         """total: of the counts of all words, if counts holds only those that are looked up."""
         total = max(1, sum(counts.values()) if total is None else total)
         self.cost = {w: math.log(n / total) for w, n in counts.items() if 0 < len(w) <= LONGEST}
+        self.longest = max(map(len, self.cost), default=1)
         self.unknown = math.log(0.01 / total)
         self.split = lru_cache(1 << 16)(self._split)
 
@@ -71,7 +76,7 @@ class Segmenter:
             return ("0",)
         best, back = [0.0] + [-math.inf] * len(run), [0] * (len(run) + 1)
         for j in range(1, len(run) + 1):
-            for i in range(max(0, j - LONGEST), j):
+            for i in range(max(0, j - self.longest), j):
                 c = self.cost.get(run[i:j])
                 c = best[i] + (c if c is not None else self.unknown * (j - i) if j - i == 1 else -math.inf)
                 if c > best[j]:
@@ -98,7 +103,7 @@ class Segmenter:
 
 def _segmenter(cost: dict[str, float], unknown: float) -> Segmenter:
     s = Segmenter({})
-    s.cost, s.unknown = cost, unknown
+    s.cost, s.unknown, s.longest = cost, unknown, max(map(len, cost), default=1)
     return s
 
 
@@ -180,84 +185,90 @@ def least_sent(counts: DataFrame, most: int) -> float:
     return cut
 
 
-class NaiveBayes:
-    def __init__(self, rows: list[tuple[str, int, int]], urls: tuple[int, int], totals: tuple[int, int] | None = None):
-        """rows: (token, times in wanted URLs, times in unwanted ones); urls: numbers of both kinds; totals: of the times
-        + 1 of all tokens, if rows holds only some."""
-        self.odds: dict[str, float] = {}
-        self.prior = 0.0
-        if min(urls):
-            total = totals or (sum(r[1] for r in rows) + len(rows), sum(r[2] for r in rows) + len(rows))
-            self.odds = {t: math.log((b + 1) / total[1]) - math.log((a + 1) / total[0]) for t, a, b in rows}
-            self.prior = math.log(urls[1] / urls[0])
+def page_text(html: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(html.cast("string"), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " "), r"[ \t]+", " "))
 
-    def log_odds(self, tokens: list[str]) -> float:
-        return self.prior + sum(self.odds.get(t, 0.0) for t in tokens)
+
+def content_labels(pages: DataFrame, docs: DataFrame, quality: DataFrame) -> DataFrame:
+    """(`__lw_url`, y) of every page with html: 1 if the classifier rejects its text."""
+    net = byte_cnn.fit(docs, quality)
+    rows = pages.where("html is not null").select(url_key(), page_text(F.col("html")).alias("text"))
+    if net is None:
+        return rows.select(P + "url", F.lit(None).cast("int").alias("y"))
+    return byte_cnn.score(rows, net).select(P + "url", (F.col(P + "probability") < net.threshold).cast("int").alias("y"))
+
+
+def url_key() -> Column:
+    return F.coalesce(F.col("url").cast("string"), F.lit("")).alias(P + "url")
 
 
 def tokenised(pages: DataFrame, segmenter: Segmenter) -> DataFrame:
-    """pages with their tokens as `__lw_tokens`."""
+    """(`__lw_url`, `__lw_tokens`) of every distinct URL."""
     sent = pages.sparkSession.sparkContext.broadcast(segmenter)
 
     @F.pandas_udf("array<string>")
     def tokens(url):
-        return url.map(sent.value.tokens, na_action=None)
+        return url.map(sent.value.tokens)
 
-    return pages.withColumn(P + "tokens", tokens(F.col("url").cast("string")))
+    return pages.select(url_key()).distinct().withColumn(P + "tokens", tokens(P + "url"))
 
 
-def seed_label(unwanted: tuple[str, ...] = UNWANTED):
-    """1, 0 or null, from a URL and its tokens."""
-    words_ = F.transform(F.filter(P + "tokens", lambda t: t.startswith("h:")), lambda t: F.substring(t, 3, 1000))
-    hit = F.arrays_overlap(words_, F.array(*map(F.lit, unwanted)))
-    return F.when(F.size(words_) == 0, None).otherwise(F.coalesce(hit, F.lit(False)).cast("int"))
+def host_words() -> Column:
+    return F.transform(F.filter(P + "tokens", lambda t: t.startswith("h:")), lambda t: F.substr(t, F.lit(3)))
 
 
-def train_bayes(marked: DataFrame, *, features: int = 200_000) -> tuple[NaiveBayes, DataFrame | None]:
-    """The model of the tokens that are sent, and (t, o), the odds of the others, if there are any. marked: (`__lw_tokens`, y), y 0 or 1 or null."""
-    own = marked.where("y in (0, 1)")
-    n = {r[0]: r[1] for r in own.groupBy("y").count().toLocalIterator()}
-    rows = own.select("y", F.explode(P + "tokens").alias("t")).groupBy("t").agg(F.expr("count_if(y = 0)").alias("a"), F.expr("count_if(y = 1)").alias("b"), F.count(F.lit(1)).alias("n"))
-    rows = save(marked.sparkSession, rows, "token-counts")
-    cut = least_sent(rows, features)
-    sent = rows.where(F.col("n") >= cut).toLocalIterator() if cut < math.inf else ()
-    sums = rows.agg(F.coalesce(F.sum(F.col("a") + 1), F.lit(0)), F.coalesce(F.sum(F.col("b") + 1), F.lit(0))).first()
-    model = NaiveBayes([tuple(r)[:3] for r in sent], (n.get(0, 0), n.get(1, 0)), tuple(sums))
-    rest = rows.where(F.col("n") < cut) if cut < math.inf else rows
-    if len(n) < 2 or rest.isEmpty():
-        return model, None
-    return model, rest.select("t", (F.log((F.col("b") + 1) / sums[1]) - F.log((F.col("a") + 1) / sums[0])).alias("o"))
+def seed_label(unwanted: tuple[str, ...] = UNWANTED) -> Column:
+    """1, 0 or null, from a URL's tokens."""
+    hit = F.arrays_overlap(host_words(), F.array(*map(F.lit, unwanted)))
+    return F.when(F.size(host_words()) == 0, None).otherwise(F.coalesce(hit, F.lit(False)).cast("int"))
 
 
-def rest_odds(split: DataFrame, model: NaiveBayes, rest: DataFrame) -> DataFrame:
-    """split with `__lw_rest`, the sum of the odds of the tokens that aren't sent; they are joined, once for every distinct URL."""
-    sent = split.sparkSession.sparkContext.broadcast(frozenset(model.odds))
-
-    @F.pandas_udf("array<string>")
-    def others(tokens):
-        return tokens.map(lambda t: [x for x in t if x not in sent.value])
-
-    url = F.col("url").cast("string").alias(P + "url")
-    each = split.select(url, P + "tokens").dropDuplicates([P + "url"]).select(P + "url", F.explode(others(P + "tokens")).alias("t"))
-    added = each.join(rest, "t").groupBy(P + "url").agg(F.aggregate(F.sort_array(F.collect_list("o")), F.lit(0.0), lambda x, y: x + y).alias(P + "rest"))
-    return split.join(added, split["url"].cast("string") == added[P + "url"], "left").drop(P + "url")
-
-
-def score(spark: SparkSession, pages: DataFrame, docs: DataFrame, *, labels=None, threshold: float = 0.0, unwanted: tuple[str, ...] = UNWANTED, features: int = 200_000) -> DataFrame:
-    """pages with `__lw_tokens`, `__lw_log_odds` and `__lw_keep`. labels: a column expression over pages with their tokens.
-    features: the tokens that are sent to the tasks instead of being joined; the result doesn't depend on it."""
-    segmenter = train_segmenter(docs, pages, unwanted=unwanted)
-    split = tokenised(pages, segmenter)
-    y = seed_label(unwanted) if labels is None else labels
-    model, rest = train_bayes(save(spark, split.select(P + "tokens", y.cast("int").alias("y")), "url-tokens"), features=features)
-    sent = spark.sparkContext.broadcast(model)
-
-    @F.pandas_udf("double")
-    def odds(tokens):
-        return tokens.map(lambda t: sent.value.log_odds(list(t) if t is not None else [])).astype("float64")
-
-    total = odds(P + "tokens")
-    if rest is not None:
-        split = rest_odds(split, model, rest)
-        total = total + F.coalesce(P + "rest", F.lit(0.0))
-    return split.withColumn(P + "log_odds", total).drop(P + "rest").withColumn(P + "keep", F.col(P + "log_odds") <= threshold)
+def train_bayes(split: DataFrame, marked: DataFrame) -> tuple[float, DataFrame]:
+    """The prior, and (t, n, o), the log odds of every token and how many URLs it stands in. split: tokenised(); marked: (`__lw_url`, y), y 0 or 1 or null."""
+    spark = split.sparkSession
+    per = save(spark, marked.where("y in (0, 1)").groupBy(P + "url").agg(F.expr("count_if(y = 0)").alias("a"), F.expr("count_if(y = 1)").alias("b")), "url-labels")
+    n = per.agg(F.coalesce(F.sum("a"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    rows = split.join(per, P + "url").select("a", "b", F.explode(P + "tokens").alias("t")).groupBy("t").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.count(F.lit(1)).alias("n"))
+    rows = save(spark, rows, "token-counts")
+    if not min(n):
+        return 0.0, rows.select("t", "n", F.lit(0).cast(ODDS).alias("o")).where("false")
+    sums = rows.agg(F.coalesce(F.sum(F.col("a") + 1), F.lit(0)), F.coalesce(F.sum(F.col("b") + 1), F.lit(0))).first()
+    return math.log(n[1] / n[0]), rows.select("t", "n", F.round(F.log((F.col("b") + 1) / sums[1]) - F.log((F.col("a") + 1) / sums[0]), 10).cast(ODDS).alias("o"))
+
+
+#: Sums of decimals don't depend on their order.
+ODDS = "decimal(24,10)"
+
+
+def url_odds(split: DataFrame, odds: DataFrame, features: int) -> DataFrame:
+    """(`__lw_url`, `__lw_sum`): the sum of the odds of each URL's tokens. Tokens of greatest count, which could make a join
+    uneven, are sent to the tasks, the others joined."""
+    cut = least_sent(odds, features)
+    each = split.select(P + "url", F.explode(P + "tokens").alias("t"))
+    sent = F.broadcast(odds.where(F.col("n") >= cut).select("t", F.col("o").alias("o1"))) if cut < math.inf else None
+    found = each.withColumn("o1", F.lit(None).cast(ODDS)) if sent is None else each.join(sent, "t", "left")
+    rest = odds.where(F.col("n") < cut) if cut < math.inf else odds
+    parts = found.where("o1 is not null").select(P + "url", F.col("o1").alias("o"))
+    if not rest.isEmpty():
+        parts = parts.union(found.where("o1 is null").join(rest, "t").select(P + "url", "o"))
+    return parts.groupBy(P + "url").agg(F.sum("o").cast("double").alias(P + "sum"))
+
+
+def score(spark: SparkSession, pages: DataFrame, docs: DataFrame, *, quality: DataFrame | None = None, labels: Column | None = None, threshold: float = 0.0, unwanted: tuple[str, ...] = UNWANTED, features: int = 200_000) -> DataFrame:
+    """pages with `__lw_tokens`, `__lw_log_odds` and `__lw_keep`. quality: (doc_id, quality) of some documents. labels: instead of
+    the module's labels, a column expression over pages with their tokens. features: the tokens that are sent to the tasks
+    instead of being joined; the result doesn't depend on it."""
+    split = save(spark, tokenised(pages, train_segmenter(docs, pages, unwanted=unwanted)), "url-tokens")
+    keyed = pages.withColumn(P + "url", url_key())
+    if labels is not None:
+        marked = keyed.join(split, P + "url").select(P + "url", labels.cast("int").alias("y"))
+    elif quality is not None and "html" in pages.columns:
+        seed = split.select(P + "url", (seed_label(unwanted) == 1).alias("hit"))
+        own = content_labels(pages, docs, quality).union(pages.where("html is null").select(url_key(), F.lit(None).cast("int")))
+        marked = own.join(seed, P + "url").select(P + "url", F.when(F.col("hit"), 1).otherwise(F.col("y")).alias("y"))
+    else:
+        marked = keyed.select(P + "url").join(split, P + "url").select(P + "url", seed_label(unwanted).alias("y"))
+    prior, odds = train_bayes(split, marked)
+    scored = split.join(url_odds(split, odds, features), P + "url", "left").select(P + "url", P + "tokens", (F.lit(prior) + F.coalesce(P + "sum", F.lit(0.0))).alias(P + "log_odds"))
+    out = keyed.join(scored, P + "url").withColumn(P + "keep", F.col(P + "log_odds") <= threshold)
+    return out.select(*(F.col(f"`{c}`") for c in pages.columns), P + "tokens", P + "log_odds", P + "keep")

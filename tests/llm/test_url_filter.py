@@ -44,10 +44,39 @@ def test_parts():
     assert uf.parts("host") == (["host"], []) and uf.parts(None) == ([], []) and uf.parts("") == ([], []) and uf.parts("com") == (["com"], [])
 
 
-def test_naive_bayes():
-    m = uf.NaiveBayes([("x", 8, 2), ("y", 1, 9)], (6, 3))
-    assert m.log_odds(["x", "y", "y", "new"]) == pytest.approx(math.log(3 / 6) + math.log((3 / 13) / (9 / 11)) + 2 * math.log((10 / 13) / (2 / 11)))
-    assert uf.NaiveBayes([("x", 1, 0)], (5, 0)).log_odds(["x"]) == 0
+def test_naive_bayes(spark):
+    """Counts, smoothing, prior and sums by hand."""
+    split = spark.createDataFrame([("u", ["x", "y"]), ("v", ["x", "x"]), ("w", ["y", "z"]), ("n", ["q"])], f"{P}url string, {P}tokens array<string>")
+    marked = spark.createDataFrame([("u", 0), ("u", 0), ("v", 0), ("w", 1), ("n", None)], f"{P}url string, y int")
+    prior, odds = uf.train_bayes(split, marked)
+    assert prior == pytest.approx(math.log(1 / 3))
+    # times in wanted URLs: x 4, y 2, z 0; in unwanted ones: x 0, y 1, z 1
+    want = {"x": math.log((1 / 5) / (5 / 9)), "y": math.log((2 / 5) / (3 / 9)), "z": math.log((2 / 5) / (1 / 9))}
+    assert {r["t"]: float(r["o"]) for r in odds.collect()} == pytest.approx(want)
+    got = {r[P + "url"]: r[P + "sum"] for r in uf.url_odds(split, odds, 2).collect()}
+    assert got == pytest.approx({"u": want["x"] + want["y"], "v": 2 * want["x"], "w": want["y"] + want["z"]})
+    assert uf.train_bayes(split, marked.where("y = 0"))[0] == 0 and uf.train_bayes(split, marked.where("y = 0"))[1].count() == 0
+
+
+def test_labels_from_pages_beat_the_list(spark):
+    """Hosts whose words aren't in the list are learnt from what their pages hold, and recognised on pages never seen."""
+    from tests.llm.test_isolation_forest import corpus
+
+    docs, labels = corpus(spark, 400)
+    r = rng(12)
+    fine, foul = ([word(r) + word(r) for _ in range(12)] for _ in range(2))
+    rows = []
+    for i in range(400):
+        bad = i % 4 == 0
+        names = foul if bad else fine
+        body = text(r, 120)
+        rows.append((i, f"http://{r.choice(names)}-{r.choice(names)}.example.com/{i}", "<html><script>x()</script><p>" + (" | ".join(body.split()) if bad else body) + "</p></html>"))
+    held = [(1000 + i, f"http://{r.choice(foul if i < 40 else fine)}{r.choice(foul if i < 40 else fine)}.example.org/{i}", None) for i in range(80)]
+    pages = spark.createDataFrame(rows + held, "page_id long, url string, html string")
+    got = {x["page_id"]: x[P + "keep"] for x in uf.score(spark, pages, docs, quality=labels).where("page_id >= 1000").collect()}
+    right = [got[1000 + i] == (i >= 40) for i in range(80)]
+    by_list = [i >= 40 for i in range(80) if not any(w in held[i][1] for w in uf.UNWANTED)]
+    assert sum(right) / 80 > 0.9 and sum(by_list) / 80 <= 0.5
 
 
 def test_held_out_hosts(spark):
