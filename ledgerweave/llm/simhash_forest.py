@@ -1,23 +1,28 @@
 """SimHash near-duplicates by an LSH forest.
 
 Fingerprint: 256 bits, each the majority of one bit of the hashes of the document's features;
-these are its words, each once for its 1st, 2nd, 4th, 8th, ... occurrence. Each of several trees sorts the fingerprints by randomly permuted bits. A node of a
-tree (the fingerprints with one prefix) is split while it holds more than `leaf` fingerprints,
-so that the prefix is as long as the density asks for, but never beyond the depth at which the
-trees together find a pair at `design_distance`, the greatest that is accepted, with probability `recall`: there the search has
-climbed to prefixes short enough, and all pairs of the node are compared, however many. Depth and
-number of trees follow from the number of fingerprints. Pairs are verified by their Hamming
-distance over all bits: `max_distance` at most, or `short_distance` if either document has fewer
-than SHORT features, for which the fingerprint tells less. The groups are the connected components of the verified pairs.
+these are its words, each once for its 1st, 2nd, 4th, 8th, ... occurrence. Each of several trees sorts the fingerprints by
+randomly permuted bits. The search of a tree begins at long prefixes and climbs to shorter ones. It climbs, for every
+fingerprint, at least to the depth at which the trees together find a pair at `design_distance`, the greatest that is accepted,
+with probability `recall`: there all pairs of a node (the fingerprints with one prefix) are compared, however many. Where the
+density is low it climbs on, as long as the node holds at most `leaf` fingerprints. Nodes that lower levels have already
+made one component aren't compared again. Pairs are verified by their Hamming distance over all bits: `max_distance` at most, or
+`short_distance` if either document has fewer than SHORT features, for which the fingerprint tells less. The groups are the
+connected components of the verified pairs.
+
+Depth and number of trees follow from the number n of fingerprints, as a fixed number of trees can't do: for a pair at
+distance d the chance that a prefix of log2(n / leaf) bits agrees falls as n ** log2(1 - d / 256), so that with fewer trees either
+recall is lost or nodes grow with n, and the pairs with its square.
 
 In a node of more than `DENSE` fingerprints the pairs aren't all built: those within the distance
 of a leader are linked to it, the others are compared with them and then treated alike, which
-leaves the same components.
+leaves the same components. Subtrees of more than `HOT` fingerprints are cut into parts, and every two parts go to a task.
 
 A document's key is (doc_id, hash of its text). Of each group the key that is least stays, null
 doc_ids last; of rows with equal keys one stays. Defined results: a null text is no one's
 duplicate; texts without any word are duplicates only of equal texts; an empty table gives an
-empty result; columns beside doc_id and text don't matter.
+empty result; columns beside doc_id and text don't matter. doc_id must be castable to long. Texts are told apart by
+64-bit hashes only among rows of one doc_id; fingerprints are compared whole.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ from pyspark.sql import functions as F
 from ledgerweave.llm.common import P, log2_ceil, save
 from ledgerweave.llm.textnp import mix, slices, words
 
-BITS, LANES, DENSE, SHORT = 256, 4, 4096, 64
+BITS, LANES, DENSE, SHORT, HOT = 256, 4, 4096, 64, 1 << 17
 FP = [f"f{i}" for i in range(LANES)]
 _LANE_SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
@@ -140,57 +145,92 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return label
 
 
+def nodes_at(key: np.ndarray, depth: int) -> np.ndarray:
+    """First places of the nodes at a depth, and the end; key is sorted."""
+    if depth <= 0:
+        return np.array([0, len(key)])
+    prefix = key >> np.uint32(32 - depth)
+    return np.flatnonzero(np.r_[True, prefix[1:] != prefix[:-1], True])
+
+
 def tree_edges(v: np.ndarray, key: np.ndarray, fp: np.ndarray, limit: np.ndarray, base: int, depth: int, leaf: int) -> tuple[np.ndarray, np.ndarray]:
     """Star edges (vertex, root) of one subtree, whose fingerprints share `base` bits of the 32 in key."""
     order = np.lexsort((v, key))
     v, key, fp, limit = v[order], key[order], fp[order], limit[order]
-    todo, a, b = [(0, len(v), base)], [], []
-    while todo:
-        lo, hi, d = todo.pop()
-        if hi - lo < 2:
-            continue
-        if hi - lo > leaf and d < depth:
-            bit = np.uint32(1 << (31 - d))
-            mid = lo + int(np.searchsorted((key[lo:hi] & bit) > 0, True))
-            todo += [(lo, mid, d + 1), (mid, hi, d + 1)]
-            continue
-        x, y = close_pairs(fp[lo:hi], limit[lo:hi])
-        a.append(lo + x)
-        b.append(lo + y)
-    if not a:
-        return v[:0], v[:0]
-    root = local_roots(len(v), np.concatenate(a), np.concatenate(b))
+    root = np.arange(len(v))
+
+    def compare(nodes: list[tuple[int, int]], root: np.ndarray) -> np.ndarray:
+        a, b = [np.arange(len(v))], [root]
+        for lo, hi in nodes:
+            if hi - lo > 1 and (root[lo:hi] != root[lo]).any():
+                x, y = close_pairs(fp[lo:hi], limit[lo:hi])
+                a.append(lo + x)
+                b.append(lo + y)
+        return local_roots(len(v), np.concatenate(a), np.concatenate(b)) if len(a) > 1 else root
+
+    # long prefixes first
+    for d in (depth + 8, depth + 4):
+        if d < 32:
+            cut = nodes_at(key, d)
+            root = compare([(lo, hi) for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()) if hi - lo <= leaf], root)
+    # then those at the depth that the recall asks for, or as far up as there are at most `leaf` fingerprints
+    last = nodes_at(key, depth)
+    final = set(zip(last[:-1].tolist(), last[1:].tolist()))
+    for d in range(depth - 1, base - 1, -1):
+        cut = nodes_at(key, d)
+        below = np.searchsorted(last, cut)
+        for lo, hi, x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), below[:-1].tolist(), below[1:].tolist()):
+            if hi - lo <= leaf and y - x > 1:
+                final -= {(int(last[k]), int(last[k + 1])) for k in range(x, y)}
+                final.add((lo, hi))
+        last = np.array(sorted({lo for lo, _ in final} | {len(v)}))
+    root = compare(sorted(final), root)
     own = np.flatnonzero(root != np.arange(len(v)))
     return v[own], v[root[own]]
 
 
 def edges(spark: SparkSession, nodes: DataFrame, *, leaf: int, recall: float, design_distance: int, most: int, most_short: int, seed: int = 11) -> DataFrame:
-    """(u, v) with u > v: links that leave the components of all pairs found. nodes: (v, short, f0..f3), saved, distinct."""
+    """(u, v) with u > v: links that leave the components of all pairs found. nodes: (v, short, f0..f3), saved, distinct; v less than 2**62."""
     depth, trees = plan(nodes.count(), leaf, recall, design_distance)
     base = max(0, depth - 4)
     rng = np.random.default_rng(seed)
     permuted = [rng.choice(BITS, 32, replace=False) for _ in range(trees)]
 
+    def keys(fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8), axis=1)
+        for t, own in enumerate(permuted):
+            key = np.ascontiguousarray(np.packbits(bits[:, own], axis=1)).view(">u4")[:, 0].astype(np.uint32)
+            yield key, (key >> np.uint32(32 - base)).astype(np.int64) * trees + t if base else np.full(len(key), t, np.int64)
+
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 b = batch.slice(at, 4096)
-                fp = np.stack([b.column(2 + q).to_numpy() for q in range(LANES)], axis=1)
-                bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8), axis=1)
-                for t, own in enumerate(permuted):
-                    key = np.ascontiguousarray(np.packbits(bits[:, own], axis=1)).view(">u4")[:, 0].astype(np.uint32)
-                    group = (key >> np.uint32(32 - base)).astype(np.int64) if base else np.zeros(len(key), np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(group * trees + t), pa.array(key.view(np.int32)), *b.columns], names=["g", "key", "v", "short", *FP])
+                for key, g in keys(np.stack([b.column(1 + q).to_numpy() for q in range(LANES)], axis=1)):
+                    yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(key.view(np.int32)), *b.columns], names=["g", "key", "v", *FP])
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                b = batch.slice(at, 4096)
+                g, n = np.unique(np.concatenate([g for _, g in keys(np.stack([b.column(1 + q).to_numpy() for q in range(LANES)], axis=1))]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n)], names=["g", "n"])
 
     def search(group: pa.Table) -> pa.Table:
         col = {c: group.column(c).to_numpy() for c in group.column_names}
-        limit = np.where(col["short"], most_short, most).astype(np.uint16)
-        u, v = tree_edges(col["v"], col["key"].view(np.uint32), np.stack([col[f] for f in FP], axis=1).view(np.uint64), limit, base, depth, leaf)
+        limit = np.where(col["v"] & 1, most_short, most).astype(np.uint16)
+        u, v = tree_edges(col["v"] >> 1, col["key"].view(np.uint32), np.stack([col[f] for f in FP], axis=1).view(np.uint64), limit, base, depth, leaf)
         return pa.table({"u": np.maximum(u, v), "v": np.minimum(u, v)})
 
-    lanes = ", ".join(f"{f} long" for f in FP)
-    grown = nodes.select("v", "short", *FP).mapInArrow(grow, f"g long, key int, v long, short boolean, {lanes}")
-    return grown.groupBy("g").applyInArrow(search, "u long, v long").distinct()
+    thin = nodes.select((F.col("v") * 2 + F.col("short").cast("long")).alias("v"), *FP)
+    grown = thin.mapInArrow(grow, "g long, key int, v long, " + ", ".join(f"{f} long" for f in FP))
+    hot = save(spark, thin.mapInArrow(sizes, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where(F.col("n") > HOT).select("g", F.ceil(F.col("n") / (HOT // 2)).alias("parts")), "hot-subtrees")
+    by = ["g"]
+    if not hot.isEmpty():
+        own = F.pmod(F.xxhash64("v"), F.col("parts"))
+        pair = F.when(F.col("parts").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda other: F.least(own, other) * F.col("parts") + F.greatest(own, other)))
+        grown, by = grown.join(hot, "g", "left").withColumn("pair", F.explode(pair)).drop("parts"), ["g", "pair"]
+    return grown.groupBy(*by).applyInArrow(search, "u long, v long").distinct()
 
 
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
@@ -220,10 +260,10 @@ def decisions(spark: SparkSession, documents: DataFrame, *, leaf: int = 256, rec
     """A saved table with a row for each key (doc_id, th): n, its rows; keep_id, keep_th, the key that stays in
     its place (itself, if it stays); distance, between the two fingerprints. design_distance: by default, the greatest accepted."""
     design_distance = max(max_distance, short_distance) if design_distance is None else design_distance
-    fp = save(spark, fingerprints(documents).groupBy("doc_id", "th", "short", *FP).agg(F.count(F.lit(1)).alias("n")).withColumn("v", F.xxhash64(*FP)), "fingerprints")
-    nodes = save(spark, fp.groupBy("v").agg(F.max("short").alias("short"), *(F.first(f).alias(f) for f in FP)), "nodes")
+    fp = save(spark, fingerprints(documents).groupBy("doc_id", "th", "short", *FP).agg(F.count(F.lit(1)).alias("n")), "fingerprints")
+    nodes = save(spark, fp.groupBy(*FP).agg(F.max("short").alias("short")).withColumn("v", F.monotonically_increasing_id()), "nodes")
     found = components(spark, edges(spark, nodes, leaf=leaf, recall=recall, design_distance=design_distance, most=max_distance, most_short=short_distance, seed=seed))
-    placed = fp.join(found, "v", "left").withColumn("c", F.coalesce("c", "v"))
+    placed = fp.join(nodes.select("v", *FP), FP).join(found, "v", "left").withColumn("c", F.coalesce("c", "v"))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", *FP)
     stays = placed.groupBy("c").agg(F.min(rank).alias("k"))
     apart = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"k.{f}"))) for f in FP), F.lit(0))

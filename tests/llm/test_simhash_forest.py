@@ -65,6 +65,42 @@ def test_dense_groups_keep_their_components(monkeypatch):
     assert (sf.local_roots(500, a, b) == want).all() and len(a) < 2000
 
 
+def test_climbing_compares_the_nodes_that_a_descent_would_end_in():
+    """Components of a subtree: those of all pairs within the maximal nodes of at most `leaf`, or at the depth of the recall."""
+    g = np.random.default_rng(5)
+    for depth, base, leaf in ((6, 2, 8), (9, 5, 4), (3, 0, 16), (1, 0, 4)):
+        n = 400
+        fp = g.integers(0, 2**63, (40, sf.LANES), dtype=np.uint64)[g.integers(0, 40, n)]
+        for _ in range(10):
+            fp[np.arange(n), g.integers(0, 4, n)] ^= np.uint64(1) << g.integers(0, 63, n).astype(np.uint64)
+        key = np.ascontiguousarray(np.packbits(np.unpackbits(fp.view(np.uint8), axis=1)[:, g.permutation(256)[:32]], axis=1)).view(">u4")[:, 0].astype(np.uint32)
+        key = key >> np.uint32(base) if base else key  # share `base` bits
+        limit, v = np.full(n, 16, np.uint16), g.permutation(n).astype(np.int64)
+        a, b, todo = [], [], [(np.arange(n), base)]
+        while todo:
+            rows, d = todo.pop()
+            if len(rows) > leaf and d < depth:
+                bit = (key[rows] >> np.uint32(31 - d)) & 1
+                todo += [(rows[bit == 0], d + 1), (rows[bit == 1], d + 1)]
+            elif len(rows) > 1:
+                x, y = sf.close_pairs(fp[rows], limit[rows])
+                a.append(rows[x])
+                b.append(rows[y])
+        want = sf.local_roots(n, np.concatenate(a), np.concatenate(b))
+        x, y = sf.tree_edges(v, key, fp, limit, base, depth, leaf)
+        back = np.argsort(v)
+        got = sf.local_roots(n, back[x], back[y])
+        assert (got == want).all() and len(set(want.tolist())) < n
+
+
+def test_hot_subtrees_are_searched_in_parts(spark, monkeypatch):
+    texts = corpus(7, 120)
+    docs = documents(spark, texts)
+    want = sorted((r["doc_id"], r["duplicate_of"]) for r in sf.duplicates(spark, docs, short_distance=56).collect())
+    monkeypatch.setattr(sf, "HOT", 32)
+    assert sorted((r["doc_id"], r["duplicate_of"]) for r in sf.duplicates(spark, docs, short_distance=56).collect()) == want and len(want) > 50
+
+
 def test_plan_meets_its_recall():
     for n in (10, 10**4, 10**7, 10**10):
         depth, trees = sf.plan(n, 256, 0.95, 40)
