@@ -7,8 +7,8 @@ at random values of random statistics; a document that is isolated after few spl
 all trees, is anomalous. The threshold on the score is calibrated on labelled rows: the one with the
 best balanced accuracy among those at which at most `lose` of the good rows are rejected.
 
-Bounds: the trees are grown on `trees` samples of `per_tree` rows each, chosen by a hash of doc_id and
-text among all documents whose text isn't blank, and the threshold is taken from all labelled rows.
+The method's samples: each of the `trees` trees has `per_tree` rows of its own, all of them together being those of least hash of
+doc_id and text among all documents whose text isn't blank (if there are fewer, trees share rows). The threshold is taken from all labelled rows.
 Extremes to be expected of short texts are levelled by counting `PRIOR` typical words along.
 
 Defined results: null texts and texts without any word have no statistics and are rejected. Rows with
@@ -130,11 +130,12 @@ def rest(n: float) -> float:
 def grow(sample: np.ndarray, trees: int, per_tree: int, seed: int) -> Forest:
     rng = np.random.default_rng(seed)
     per_tree = min(per_tree, len(sample))
+    own = rng.permutation(len(sample))[: trees * per_tree].reshape(trees, per_tree) if len(sample) >= trees * per_tree else None
     depth = max(1, int(np.ceil(np.log2(max(2, per_tree)))))
     nodes = 2 ** (depth + 1) - 1
     stat, cut, path = np.full((trees, nodes), -1, np.int64), np.zeros((trees, nodes), np.float32), np.zeros((trees, nodes))
     for t in range(trees):
-        todo = [(0, 0, sample[rng.choice(len(sample), per_tree, replace=False)])]
+        todo = [(0, 0, sample[own[t] if own is not None else rng.choice(len(sample), per_tree, replace=False)])]
         while todo:
             k, d, x = todo.pop()
             lo, hi = (x.min(0), x.max(0)) if len(x) else (np.zeros(len(STATS)), np.zeros(len(STATS)))
@@ -163,10 +164,10 @@ def calibrate(score: np.ndarray, quality: np.ndarray, lose: float) -> float:
     return float(cuts[fits[np.argmax((caught - lost)[fits])]])
 
 
-def fit(spark: SparkSession, stats: DataFrame, labels: DataFrame, *, trees: int = 200, per_tree: int = 256, pool: int = 16384, lose: float = 0.002, seed: int = 5) -> Forest:
-    """stats: (doc_id, th, s), saved. `pool` rows of least hash serve all samples."""
+def fit(spark: SparkSession, stats: DataFrame, labels: DataFrame, *, trees: int = 200, per_tree: int = 256, lose: float = 0.002, seed: int = 5) -> Forest:
+    """stats: (doc_id, th, s), saved."""
     known = stats.where("not isnan(s[0])")
-    rank = F.xxhash64(F.lit(seed), "doc_id", "th")
+    rank, pool = F.xxhash64(F.lit(seed), "doc_id", "th"), trees * per_tree
     # hashes are spread evenly: below this one lie about twice as many rows as are wanted, so no task sends more than a few
     most = min(2**63 - 1, int(-(2**63) + 2**64 * (2 * pool + 64) / max(1, known.count())))
     picked = known.where(rank <= F.lit(most)).orderBy(rank, "doc_id").limit(pool).select("s").toPandas()["s"]
