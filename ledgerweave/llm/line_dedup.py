@@ -17,6 +17,8 @@ start, suffixes from the end, so an insertion shifts nothing; a length at which
 emitted for both cuts). Only lines that share a coarse key with another line go on to finer blocks,
 and only the characters of a stretch that is shared there are deleted one by one. Both filters are exact.
 
+Lines are told apart by 128 bits of two hashes.
+
 Defined results: blank lines stay, and a null text stays null. Rows with equal doc_id and text are
 one document, and all get its result. An empty table gives an empty result. Columns beside doc_id
 and text pass through; helper columns start with `__lw_`.
@@ -37,6 +39,7 @@ from ledgerweave.llm.textnp import mix as mixed
 
 SHORT = 10
 _C = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
+_OTHER = np.random.default_rng(0x11AE5).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 class Lines:
@@ -70,6 +73,12 @@ class Lines:
     def whole(self) -> np.ndarray:
         return mixed(self.span(self.start, self.end))
 
+    def second(self) -> np.ndarray:
+        """Another hash of the whole lines, by other values of the bytes, with their length."""
+        prefix = np.zeros(len(self.data) + 1, np.uint64)
+        np.cumsum(_OTHER[self.data] * powers(len(self.data)), out=prefix[1:], dtype=np.uint64)
+        return mixed((prefix[self.end] - prefix[self.start]) * self.inverse[self.start] ^ (self.end - self.start).astype(np.uint64) * _C[1])
+
     def blank(self) -> np.ndarray:
         space = np.isin(self.data, np.frombuffer(b" \t\r\x0b\x0c", np.uint8))
         count = np.zeros(len(self.data) + 1, np.int64)
@@ -119,7 +128,7 @@ def _positions(docs: DataFrame) -> DataFrame:
 
 
 def distinct_lines(docs: DataFrame) -> DataFrame:
-    """(h, n, keys, p): every distinct line that isn't blank, and its earliest place p."""
+    """(h, g, keys, p): every distinct line that isn't blank, and its earliest place p."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,12 +138,12 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
                 order = np.argsort(own, kind="stable")
                 keys = pa.ListArray.from_arrays(pa.array(np.searchsorted(own[order], np.arange(len(x.text) + 1)).astype(np.int32)), pa.array(key[order].view(np.int64)))
                 b = batch.slice(i, j - i)
-                out = pa.RecordBatch.from_arrays([pa.array(x.whole().view(np.int64)), pa.array(x.chars.astype(np.int32)), keys, b.column(0).take(pa.array(x.text)), b.column(1).take(pa.array(x.text)), pa.array(x.number.astype(np.int32))], names=["h", "n", "keys", "d", "th", "ln"])
+                out = pa.RecordBatch.from_arrays([pa.array(x.whole().view(np.int64)), pa.array(x.second().view(np.int64)), keys, b.column(0).take(pa.array(x.text)), b.column(1).take(pa.array(x.text)), pa.array(x.number.astype(np.int32))], names=["h", "g", "keys", "d", "th", "ln"])
                 yield out.filter(pa.array(~x.blank()))
 
-    lines = _positions(docs).mapInArrow(run, "h long, n int, keys array<long>, d long, th long, ln int")
+    lines = _positions(docs).mapInArrow(run, "h long, g long, keys array<long>, d long, th long, ln int")
     place = F.struct(F.col("d").isNull().alias("d0"), "d", "th", "ln")
-    return lines.groupBy("h", "n").agg(F.min(place).alias("p"), F.first("keys").alias("keys"))
+    return lines.groupBy("h", "g").agg(F.min(place).alias("p"), F.first("keys").alias("keys"))
 
 
 def _shared(keys: DataFrame) -> DataFrame:
@@ -142,33 +151,33 @@ def _shared(keys: DataFrame) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, first: DataFrame) -> DataFrame:
-    """(h, n, of): the lines that an earlier line is within one edit of, and the earliest such line's place."""
-    survivors = _shared(first.select("h", "n", F.explode("keys").alias("key"))).select("h", "n").distinct()
-    wanted = first.join(survivors, ["h", "n"], "left_semi").select("h", "n", "p.*").groupBy("d", "th").agg(F.collect_list(F.struct("ln", "h", "n")).alias("lines"))
+    """(h, g, of): the lines that an earlier line is within one edit of, and the earliest such line's place."""
+    survivors = _shared(first.select("h", "g", F.explode("keys").alias("key"))).select("h", "g").distinct()
+    wanted = first.join(survivors, ["h", "g"], "left_semi").select("h", "g", "p.*").groupBy("d", "th").agg(F.collect_list(F.struct("ln", "h", "g")).alias("lines"))
     rows = _positions(docs).join(wanted.withColumnsRenamed({"d": "wd", "th": "wth"}), F.col("d").eqNullSafe(F.col("wd")) & (F.col("th") == F.col("wth")))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("h", "n", "d", "th", "ln", "line")}
+            out: dict[str, list] = {c: [] for c in ("h", "g", "d", "th", "ln", "line")}
             for d, th, text, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
                 parts = text.as_py().split("\n")
                 for x in lines:
-                    for c, v in (("h", x["h"]), ("n", x["n"]), ("d", d), ("th", th), ("ln", x["ln"]), ("line", parts[x["ln"]])):
+                    for c, v in (("h", x["h"]), ("g", x["g"]), ("d", d), ("th", th), ("ln", x["ln"]), ("line", parts[x["ln"]])):
                         out[c].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("h", pa.int64()), ("n", pa.int32()), ("d", pa.int64()), ("th", pa.int64()), ("ln", pa.int32()), ("line", pa.string())]))
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("h", pa.int64()), ("g", pa.int64()), ("d", pa.int64()), ("th", pa.int64()), ("ln", pa.int32()), ("line", pa.string())]))
 
-    fetched = rows.select("d", "th", "text", "lines").mapInArrow(fetch, "h long, n int, d long, th long, ln int, line string")
-    lines = save(spark, fetched.dropDuplicates(["h", "n"]).withColumn("p", F.struct(F.col("d").isNull().alias("d0"), "d", "th", "ln")).select("h", "n", "p", "line"), "near-lines")
+    fetched = rows.select("d", "th", "text", "lines").mapInArrow(fetch, "h long, g long, d long, th long, ln int, line string")
+    lines = save(spark, fetched.dropDuplicates(["h", "g"]).withColumn("p", F.struct(F.col("d").isNull().alias("d0"), "d", "th", "ln")).select("h", "g", "p", "line"), "near-lines")
 
     def fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offs in slices(batch.column(2)):
                 x = Lines(data, offs, whole=True)
                 own, key, lo, hi = x.keys(64)
-                h, n = batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([h.take(pa.array(own)), n.take(pa.array(own)), pa.array(key.view(np.int64)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=["h", "n", "key", "lo", "hi"])
+                h, g = batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([h.take(pa.array(own)), g.take(pa.array(own)), pa.array(key.view(np.int64)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=["h", "g", "key", "lo", "hi"])
 
-    stretches = _shared(lines.select("h", "n", "line").mapInArrow(fine, "h long, n int, key long, lo int, hi int")).groupBy("h", "n").agg(F.array_distinct(F.collect_list(F.struct("lo", "hi"))).alias("stretches"))
+    stretches = _shared(lines.select("h", "g", "line").mapInArrow(fine, "h long, g long, key long, lo int, hi int")).groupBy("h", "g").agg(F.array_distinct(F.collect_list(F.struct("lo", "hi"))).alias("stretches"))
 
     def vary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,15 +190,15 @@ def near_copies(spark: SparkSession, docs: DataFrame, first: DataFrame) -> DataF
                 line, key, place = np.r_[line, np.arange(j - i)], np.r_[key, x.whole()], np.r_[place, np.full(j - i, -1)]
                 b = batch.slice(i, j - i)
                 at = pa.array(line)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(place.astype(np.int32)), b.column(0).take(at), b.column(1).take(at), b.column(2).take(at)], names=["key", "place", "h", "n", "p"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(place.astype(np.int32)), b.column(0).take(at), b.column(1).take(at), b.column(2).take(at)], names=["key", "place", "h", "g", "p"])
 
     kind = "struct<d0:boolean,d:bigint,th:bigint,ln:int>"
-    varied = lines.join(stretches, ["h", "n"]).select("h", "n", "p", "line", "stretches").mapInArrow(vary, f"key long, place int, h long, n int, p {kind}")
+    varied = lines.join(stretches, ["h", "g"]).select("h", "g", "p", "line", "stretches").mapInArrow(vary, f"key long, place int, h long, g long, p {kind}")
     at_key, at_place = Window.partitionBy("key"), Window.partitionBy("key", "place")
     least = F.least(F.min("p").over(at_place), F.min(F.when(F.col("place") < 0, F.col("p"))).over(at_key))
-    found = varied.withColumn("of", F.when(F.col("place") < 0, F.min("p").over(at_key)).otherwise(least)).where("of < p").groupBy("h", "n").agg(F.min("of").alias("of"))
-    checked = found.join(lines.select("h", "n", "line"), ["h", "n"]).join(lines.select(F.col("p").alias("of"), F.col("line").alias("other")), "of")
-    return checked.where(F.levenshtein("line", "other", 1).between(0, 1)).select("h", "n", "of")
+    found = varied.withColumn("of", F.when(F.col("place") < 0, F.min("p").over(at_key)).otherwise(least)).where("of < p").groupBy("h", "g").agg(F.min("of").alias("of"))
+    checked = found.join(lines.select("h", "g", "line"), ["h", "g"]).join(lines.select(F.col("p").alias("of"), F.col("line").alias("other")), "of")
+    return checked.where(F.levenshtein("line", "other", 1).between(0, 1)).select("h", "g", "of")
 
 
 def decisions(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -201,7 +210,7 @@ def decisions(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFram
 def dedup(spark: SparkSession, docs: DataFrame, removed: str = P + "removed") -> DataFrame:
     """docs with the lines that stay, and the number of lines that went."""
     first, near = decisions(spark, docs)
-    kept = first.join(near, ["h", "n"], "left_anti").select("p.*").groupBy("d", "th").agg(F.collect_list("ln").alias(P + "kept")).withColumnsRenamed({"d": P + "d", "th": P + "t"})
+    kept = first.join(near, ["h", "g"], "left_anti").select("p.*").groupBy("d", "th").agg(F.collect_list("ln").alias(P + "kept")).withColumnsRenamed({"d": P + "d", "th": P + "t"})
 
     @F.pandas_udf("text string, removed int")
     def rebuild(text, kept):
