@@ -50,15 +50,26 @@ def projects(entries: DataFrame) -> DataFrame:
     what the hash stands for; its sessions are those outside subagents, or all if there are none."""
     rows = entries.withColumns({"hash": F.when(F.coalesce(F.col("project_hash"), F.lit("")) == "", "unknown").otherwise(F.col("project_hash")), "epoch": F.unix_timestamp(F.col("moment").cast("timestamp"))})
     has = F.col("epoch").isNotNull()
-    base = rows.groupBy("hash").agg(
+    # by session first: distinct sessions are then a count of rows, and a hot project is spread over its sessions
+    first, last = F.when(has, F.struct("epoch", "ord", "ts")), F.when(has, F.struct((-F.col("epoch")).alias("e"), "ord", "ts"))
+    by_session = rows.groupBy("hash", "session_id").agg(
         *(F.sum(t).alias(t) for t in TOKENS),
         F.count(F.lit(1)).alias("messages"),
-        F.countDistinct(F.when(~F.col("is_subagent"), F.col("session_id"))).alias("main_sessions"),
-        F.countDistinct("session_id").alias("all_sessions"),
-        F.countDistinct(F.when(F.col("is_subagent"), F.col("session_id"))).alias("subagent_sessions"),
-        F.min_by("ts", F.when(has, F.struct("epoch", "ord"))).alias("first_seen"),
+        F.bool_or("is_subagent").alias("aide"),
+        F.bool_and("is_subagent").alias("aide_only"),
+        F.min(first).alias("first"),
         # of the rows in the last second the first in scan order
-        F.min_by("ts", F.when(has, F.struct(-F.col("epoch"), "ord"))).alias("last_seen"),
+        F.min(last).alias("last"),
+    )
+    known = F.col("session_id").isNotNull()
+    base = by_session.groupBy("hash").agg(
+        *(F.sum(t).alias(t) for t in TOKENS),
+        F.sum("messages").alias("messages"),
+        F.count_if(known & ~F.col("aide_only")).alias("main_sessions"),
+        F.count_if(known).alias("all_sessions"),
+        F.count_if(known & F.col("aide")).alias("subagent_sessions"),
+        F.min("first")["ts"].alias("first_seen"),
+        F.min("last")["ts"].alias("last_seen"),
     )
     by_cwd = rows.where("cwd is not null").groupBy("hash", "cwd").agg(F.count(F.lit(1)).alias("n")).groupBy("hash").agg(F.max_by("cwd", F.struct("n", "cwd")).alias("cwd"))
     out = base.join(by_cwd, "hash", "left")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MOST = 10
@@ -34,47 +35,54 @@ def facts(cost: DataFrame, grade: DataFrame, savings: DataFrame, anomalies: Data
     return reduce(DataFrame.crossJoin, parts)
 
 
-def _text(*parts) -> Column:
-    return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+#: (condition, rule, severity, title, savings, action). Conditions are SQL over the facts; in the texts {x} stands for fact x. The
+#: severity of a rule may be a fact as well.
+SIGNALS = (
+    ("direction = 'worsened' AND multiplier >= 2", "inflection_worsened", "critical", "Cache efficiency dropped {times}x on {change_date}", "about half of usage once fixed", "Look at what changed that day: stale sessions brought back to life, missing compaction, or a client update."),
+    ("direction = 'improved' AND multiplier >= 2", "inflection_improved", "positive", "Efficiency improved {times}x on {change_date}", "already earned", "Whatever changed in the workflow then pays off; keep doing it."),
+    ("available AND opus_pct > 80", "opus_heavy", "warning", "Opus takes {opus_pct}% of spend", "about {opus_saving}% of usage", "Leave searching, bulk edits and other routine to a lighter model and keep the largest for synthesis."),
+    ("total_sessions > 0 AND avg_duration > 60", "long_sessions", "warning", "Sessions last {avg_duration} minutes on average", "15 to 25% of usage", "Context grows with every turn: compact, or begin anew, before minute {p90_duration}."),
+    ("efficiency_ratio > 1500", "cache_ratio_severe", "critical", "A cache ratio of {efficiency_ratio}:1 is severe", "about half of usage", "Restart old threads, leave the project notes unchanged during a run, and avoid pauses that outlive the cache."),
+    ("efficiency_ratio > 800 AND efficiency_ratio <= 1500", "cache_ratio_elevated", "info", "A cache ratio of {efficiency_ratio}:1 is elevated", "5 to 10% of usage", "Compact sooner and repeat less boilerplate in prompts."),
+    ("spikes > 0", "cost_spikes", "{spike_severity}", "{spikes_label}, the worst of ${spike_dollars} on {spike_date}", "avoidable if watched", "If spend jumps in the first turns before anything useful appears, stop and restart."),
+    ("projects > 1 AND top_share > 30", "dominant_project", "info", "{top_name} makes {top_share}% of output", "the first place to look", "Check whether {top_name} needs its models and its session lengths."),
+    ("efficiency_ratio > 500", "prompt_cache_idle_gaps", "info", "Idle gaps rebuild the prompt cache", "10 to 30% of usage", "Cached context expires within minutes; after a break a fresh task is often cheaper."),
+    ("total_sessions > 0 AND peak_overlap_pct > 40", "throttled_hours", "info", "{peak_overlap_pct}% of work falls into throttled hours", "longer windows for heavy work", "Move heavy work to quieter hours where possible."),
+    ("from_caching > 100", "cache_savings", "positive", "Caching saved about ${from_caching}", "working as it should", "Prompts, tool schemas and session shapes that stay stable keep it that way."),
+)
+HYGIENE = (
+    ("TRUE", "claudeignore", "info", "Keep build artefacts out of context", "5 to 10% of each load", "List generated files, dependencies and lock files in an ignore file."),
+    ("TRUE", "scoped_prompts", "info", "Ask narrow questions", "20 to 40% of usage", "Name the file, the function and the failure, so that nothing has to be explored."),
+)
+FALLBACK = ("total_cost > 0", "no_dominant_inefficiency", "positive", "Nothing stands out", "steady", "Go on as before, and watch the cache ratio and the length of sessions.")
+NAMES = ("rule", "severity", "title", "savings", "action")
 
 
-def _times(c: str) -> Column:
-    return F.format_string("%.1f", F.col(c))
+def pieces(template: str) -> list[tuple[bool, str]]:
+    """(is a fact, literal text or name) of each part of a text."""
+    return [(i % 2 == 1, x) for i, x in enumerate(re.split(r"\{(\w+)\}", template)) if x]
 
 
-def _rules() -> tuple[list[tuple], list[tuple], tuple]:
-    c = F.col
-    signals = [
-        ((c("direction") == "worsened") & (c("multiplier") >= 2), "inflection_worsened", "critical", _text("Cache efficiency dropped ", _times("multiplier"), "x on ", c("change_date")), "about half of usage once fixed", "Look at what changed that day: stale sessions brought back to life, missing compaction, or a client update."),
-        ((c("direction") == "improved") & (c("multiplier") >= 2), "inflection_improved", "positive", _text("Efficiency improved ", _times("multiplier"), "x on ", c("change_date")), "already earned", "Whatever changed in the workflow then pays off; keep doing it."),
-        (c("available") & (c("opus_pct") > 80), "opus_heavy", "warning", _text("Opus takes ", c("opus_pct"), "% of spend"), _text("about ", F.floor(c("opus_pct") * 21 / 100), "% of usage"), "Leave searching, bulk edits and other routine to a lighter model and keep the largest for synthesis."),
-        ((c("total_sessions") > 0) & (c("avg_duration") > 60), "long_sessions", "warning", _text("Sessions last ", c("avg_duration"), " minutes on average"), "15 to 25% of usage", _text("Context grows with every turn: compact, or begin anew, before minute ", c("p90_duration"), ".")),
-        (c("efficiency_ratio") > 1500, "cache_ratio_severe", "critical", _text("A cache ratio of ", c("efficiency_ratio"), ":1 is severe"), "about half of usage", "Restart old threads, leave the project notes unchanged during a run, and avoid pauses that outlive the cache."),
-        ((c("efficiency_ratio") > 800) & (c("efficiency_ratio") <= 1500), "cache_ratio_elevated", "info", _text("A cache ratio of ", c("efficiency_ratio"), ":1 is elevated"), "5 to 10% of usage", "Compact sooner and repeat less boilerplate in prompts."),
-        (c("spikes") > 0, "cost_spikes", c("spike_severity"), _text(c("spikes"), F.when(c("spikes") == 1, " cost spike").otherwise(" cost spikes"), ", the worst of $", F.format_string("%.0f", c("spike_cost")), " on ", c("spike_date")), "avoidable if watched", "If spend jumps in the first turns before anything useful appears, stop and restart."),
-        ((c("projects") > 1) & (c("top_share") > 30), "dominant_project", "info", _text(c("top_name"), " makes ", c("top_share"), "% of output"), "the first place to look", _text("Check whether ", c("top_name"), " needs its models and its session lengths.")),
-        (c("efficiency_ratio") > 500, "prompt_cache_idle_gaps", "info", F.lit("Idle gaps rebuild the prompt cache"), "10 to 30% of usage", "Cached context expires within minutes; after a break a fresh task is often cheaper."),
-        ((c("total_sessions") > 0) & (c("peak_overlap_pct") > 40), "throttled_hours", "info", _text(c("peak_overlap_pct"), "% of work falls into throttled hours"), "longer windows for heavy work", "Move heavy work to quieter hours where possible."),
-        (c("from_caching") > 100, "cache_savings", "positive", _text("Caching saved about $", c("from_caching")), "working as it should", "Prompts, tool schemas and session shapes that stay stable keep it that way."),
-    ]
-    hygiene = [
-        (F.lit(True), "claudeignore", "info", F.lit("Keep build artefacts out of context"), "5 to 10% of each load", "List generated files, dependencies and lock files in an ignore file."),
-        (F.lit(True), "scoped_prompts", "info", F.lit("Ask narrow questions"), "20 to 40% of usage", "Name the file, the function and the failure, so that nothing has to be explored."),
-    ]
-    fallback = (c("total_cost") > 0, "no_dominant_inefficiency", "positive", F.lit("Nothing stands out"), "steady", "Go on as before, and watch the cache ratio and the length of sessions.")
-    return signals, hygiene, fallback
+def filled(template: str, quote: str) -> str:
+    """A text as an SQL expression; quote: how a quotation mark in a literal is written."""
+    return " || ".join(f"cast({x} AS {'string' if quote != chr(39) * 2 else 'varchar'})" if fact else "'" + x.replace("'", quote) + "'" for fact, x in pieces(template))
 
 
-def recommendations(facts: DataFrame) -> DataFrame:
-    """(n, rule, severity, title, savings, action); n from 1. Hygiene follows if any signal fires, else a fallback stands alone."""
+def _rows(*own: tuple[str, ...]) -> str:
+    """An array of structs of the rules that fire, in Spark's SQL."""
+    made = (f"CASE WHEN {cond} THEN named_struct({', '.join(f'{chr(39)}{n}{chr(39)}, {filled(t, chr(92) + chr(39))}' for n, t in zip(NAMES, texts))}) END" for cond, *texts in own)
+    return f"filter(array({', '.join(made)}), x -> x IS NOT NULL)"
 
-    def row(rule: tuple) -> Column:
-        cond, key, *texts = rule
-        names = ("severity", "title", "savings", "action")
-        return F.when(cond, F.struct(F.lit(key).alias("rule"), *((F.lit(t) if isinstance(t, str) else t).cast("string").alias(n) for n, t in zip(names, texts))))
 
-    signals, hygiene, fallback = _rules()
-    fired = F.filter(F.array(*map(row, signals)), lambda x: x.isNotNull())
-    rest = F.filter(F.array(row(fallback)), lambda x: x.isNotNull())
-    both = F.when(F.size(fired) > 0, F.concat(fired, F.array(*map(row, hygiene)))).otherwise(rest)
+def recommendations(facts: DataFrame) -> DataFrame:
+    """(n, rule, severity, title, savings, action); n from 1. Hygiene follows if any signal fires, else a fallback stands alone."""
+    facts = facts.withColumns(
+        {
+            "times": F.format_string("%.1f", "multiplier"),
+            "opus_saving": F.floor(F.col("opus_pct") * 21 / 100),
+            "spikes_label": F.concat(F.col("spikes").cast("string"), F.when(F.col("spikes") == 1, " cost spike").otherwise(" cost spikes")),
+            "spike_dollars": F.format_string("%.0f", "spike_cost"),
+        }
+    )
+    both = F.expr(f"CASE WHEN size({_rows(*SIGNALS)}) > 0 THEN concat({_rows(*SIGNALS)}, {_rows(*HYGIENE)}) ELSE {_rows(FALLBACK)} END")
     return facts.select(F.posexplode(F.slice(both, 1, MOST)).alias("n", "r")).select((F.col("n") + 1).cast("long").alias("n"), "r.*")

@@ -80,15 +80,15 @@ def files(activity: DataFrame) -> DataFrame:
     )
 
 
-def sessions(activity: DataFrame) -> DataFrame:
-    """Top-level sessions; the least `order` comes first: by recorded cost, then in scan order."""
-    own = files(activity).where("role = 'session'")
+def sessions(files: DataFrame) -> DataFrame:
+    """Top-level sessions of files(); the least `order` comes first: by recorded cost, then in scan order."""
+    own = files.where("role = 'session'")
     return own.withColumn("order", F.struct((-F.col("cost_units")).alias("c"), "file_ord"))
 
 
-def subagents(activity: DataFrame, sessions: DataFrame) -> DataFrame:
+def subagents(files: DataFrame) -> DataFrame:
     """Subagents of sessions that count, with the parent's session id; `order` goes by tokens, ties in the parents' order."""
-    own = files(activity).where("role = 'subagent'").drop("role")
-    parent = sessions.select(F.col("file").alias("parent_file"), F.col("session_id").alias("parent_session_id"), F.col("order").alias("parent_order"))
+    own = files.where("role = 'subagent'").drop("role")
+    parent = sessions(files).select(F.col("file").alias("parent_file"), F.col("session_id").alias("parent_session_id"), F.col("order").alias("parent_order"))
     joined = own.join(parent, "parent_file")
     return joined.withColumn("order", F.struct((-F.col("total_tokens")).alias("t"), "parent_order", "file_ord"))

@@ -12,7 +12,7 @@ from ledgerweave.functions import text as ft
 from ledgerweave.functions import time as fti
 from ledgerweave.operators import analytics as an
 from ledgerweave.operators import entries as en
-from ledgerweave.operators import story
+from ledgerweave.operators import rules, story
 from ledgerweave.operators import sessions as se
 from ledgerweave.operators.ranking import global_rank
 from ledgerweave.plans import report
@@ -140,7 +140,7 @@ def _dm(spark: SparkSession, d: str, step: bool = False) -> DataFrame:
 
 
 def _ses(spark: SparkSession, d: str) -> DataFrame:
-    return se.sessions(_act(spark, d))
+    return se.sessions(se.files(_act(spark, d)))
 
 
 usd = an.dollars
@@ -281,13 +281,13 @@ def session_first_last(spark, d):
 @query("session_subagents", "SELECT session_id, parent_session_id, total_tokens, project_name FROM sub")
 def session_subagents(spark, d):
     a = _act(spark, d)
-    return se.subagents(a, se.sessions(a)).select("session_id", "parent_session_id", "total_tokens", "project_name")
+    return se.subagents(se.files(a)).select("session_id", "parent_session_id", "total_tokens", "project_name")
 
 
 @query("costly_subagents_top20", "SELECT rank, session_id, total_tokens, (SELECT count(*) FROM sub) AS all_subagents, (SELECT CAST(sum(total_tokens) AS BIGINT) FROM sub) AS all_tokens FROM sub WHERE rank <= 20")
 def costly_subagents_top20(spark, d):
     a = _act(spark, d)
-    every = se.subagents(a, se.sessions(a))
+    every = se.subagents(se.files(a))
     top = every.orderBy("order").limit(20).withColumn("rank", F.row_number().over(Window.orderBy("order")).cast("long"))
     return top.select("rank", "session_id", "total_tokens").crossJoin(every.agg(F.count(F.lit(1)).alias("all_subagents"), F.sum("total_tokens").alias("all_tokens")))
 
@@ -316,7 +316,7 @@ def prompts_first5(spark, d):
 @query("prompt_archive", "SELECT project_hash, n, text FROM (SELECT s.project_hash, 'do ' || p.ord AS text, row_number() OVER (PARTITION BY s.project_hash ORDER BY s.rank, p.k) AS n FROM ses s JOIN (SELECT file, ord, row_number() OVER (PARTITION BY file ORDER BY ord) AS k FROM act WHERE type = 'user' AND NOT is_tool_result AND NOT is_sidechain) p USING (file) WHERE p.k <= 5) WHERE n <= 5")
 def prompt_archive(spark, d):
     a = _act(spark, d)
-    own = se.sessions(a).select("file", "project_hash", "order").join(se.prompts(a), "file")
+    own = se.sessions(se.files(a)).select("file", "project_hash", "order").join(se.prompts(a), "file")
     return own.withColumn("k", F.row_number().over(Window.partitionBy("project_hash").orderBy("order", "n")).cast("long")).where("k <= 5").select("project_hash", C("k").alias("n"), "text")
 
 
@@ -510,39 +510,71 @@ RATIO_LABEL = "CASE WHEN {v} = 0 THEN 'N/A' ELSE format('{{:,}}', {v}) || ':1' E
 )
 def hero_stats(spark, d):
     r = report.Relations(_act(spark, d))
-    return report.story_facts(r).select(F.posexplode(story.hero_stats()).alias("n", "h")).select((C("n") + 1).cast("long").alias("n"), "h.*")
+    return r.released_with(report.story_facts(r).select(F.posexplode(story.hero_stats()).alias("n", "h")).select((C("n") + 1).cast("long").alias("n"), "h.*"))
 
 
-@query("highlights")
-def highlights(spark, d):
-    r = report.Relations(_act(spark, d))
-    return report.story_facts(r).select(F.posexplode(story.highlights()).alias("n", "h")).select((C("n") + 1).cast("long").alias("n"), "h.*")
+FACTS = """facts AS (SELECT total_cost, available, opus_pct, opus_pct * 21 // 100 AS opus_saving, total_sessions, avg_duration, p90_duration, efficiency_ratio, peak_overlap_pct, from_caching, i.*, s.*, printf('%.0f', spike_cost) AS spike_dollars, spikes || CASE WHEN spikes = 1 THEN ' cost spike' ELSE ' cost spikes' END AS spikes_label, t.*, (SELECT count(*) FROM pr) AS projects
+ FROM rt, gr, du, po, sv, (SELECT max(direction) AS direction, max(multiplier) AS multiplier, printf('%.1f', max(multiplier)) AS times, max(dt) AS change_date FROM ip WHERE is_primary) i,
+ (SELECT count(*) AS spikes, arg_max(severity, row(cost, -epoch(CAST(date AS TIMESTAMP)))) AS spike_severity, max(cost) AS spike_cost, arg_max(date, row(cost, -epoch(CAST(date AS TIMESTAMP)))) AS spike_date FROM ano WHERE anomaly_type = 'spike') s,
+ (SELECT max(name) AS top_name, max(share_pct) AS top_share FROM rk WHERE rank = 1) t)"""
+
+
+def _rule_sql(rule: tuple[str, ...]) -> str:
+    cond, *texts = rule
+    return f"CASE WHEN {cond} THEN struct_pack({', '.join(f'{n} := {rules.filled(t, chr(39) * 2)}' for n, t in zip(rules.NAMES, texts))}) END"
 
 
-FIRED = """[
- CASE WHEN (SELECT direction FROM ip WHERE is_primary) = 'worsened' AND (SELECT multiplier FROM ip WHERE is_primary) >= 2 THEN 'inflection_worsened' END,
- CASE WHEN (SELECT direction FROM ip WHERE is_primary) = 'improved' AND (SELECT multiplier FROM ip WHERE is_primary) >= 2 THEN 'inflection_improved' END,
- CASE WHEN available AND opus_pct > 80 THEN 'opus_heavy' END,
- CASE WHEN total_sessions > 0 AND avg_duration > 60 THEN 'long_sessions' END,
- CASE WHEN efficiency_ratio > 1500 THEN 'cache_ratio_severe' END,
- CASE WHEN efficiency_ratio > 800 AND efficiency_ratio <= 1500 THEN 'cache_ratio_elevated' END,
- CASE WHEN (SELECT count(*) FROM ano WHERE anomaly_type = 'spike') > 0 THEN 'cost_spikes' END,
- CASE WHEN (SELECT count(*) FROM pr) > 1 AND (SELECT share_pct FROM rk WHERE rank = 1) > 30 THEN 'dominant_project' END,
- CASE WHEN efficiency_ratio > 500 THEN 'prompt_cache_idle_gaps' END,
- CASE WHEN total_sessions > 0 AND peak_overlap_pct > 40 THEN 'throttled_hours' END,
- CASE WHEN from_caching > 100 THEN 'cache_savings' END]"""
+def _rules_sql(*own: tuple[str, ...]) -> str:
+    return f"[x FOR x IN [{', '.join(map(_rule_sql, own))}] IF x IS NOT NULL]"
 
 
-@query("recommendations", f"SELECT CAST(n AS BIGINT) AS n, rule FROM (SELECT unnest(range(1, len(r) + 1)) AS n, unnest(r) AS rule FROM (SELECT CASE WHEN len(f) > 0 THEN list_concat(f, ['claudeignore', 'scoped_prompts'])[1:10] WHEN total_cost > 0 THEN ['no_dominant_inefficiency'] ELSE [] END AS r FROM (SELECT [x FOR x IN {FIRED} IF x IS NOT NULL] AS f, total_cost FROM rt, gr, du, po, sv)))", step=True)
+ADVICE = f"adv AS (SELECT CAST(n AS BIGINT) AS n, r.* FROM (SELECT unnest(range(1, len(a) + 1)) AS n, unnest(a) AS r FROM (SELECT (CASE WHEN len(f) > 0 THEN list_concat(f, h) ELSE b END)[1:{rules.MOST}] AS a FROM (SELECT {_rules_sql(*rules.SIGNALS)} AS f, {_rules_sql(*rules.HYGIENE)} AS h, {_rules_sql(rules.FALLBACK)} AS b FROM facts))))"
+
+
+@query("recommendations", "SELECT * FROM adv", step=True, more=(FACTS, ADVICE))
 def recommendations(spark, d):
-    return report.Relations(_act(spark, d, True)).recommendations.select("n", "rule")
+    r = report.Relations(_act(spark, d, True))
+    return r.released_with(r.recommendations.select("*"))
 
 
-# scalar functions
+@query("recommendations_of_even_use", "SELECT * FROM adv", more=(FACTS, ADVICE))
+def recommendations_of_even_use(spark, d):
+    """Without the change and the spike that the step variant has, so that other rules fire."""
+    r = report.Relations(_act(spark, d))
+    return r.released_with(r.recommendations.select("*"))
+
 
 TOKENS_LABEL = "CASE WHEN {v} >= 1000000000 THEN printf('%.1f', {v} / 1e9) || 'B' WHEN {v} >= 1000000 THEN printf('%.1f', {v} / 1e6) || 'M' WHEN {v} >= 1000 THEN printf('%.1f', {v} / 1e3) || 'K' ELSE CAST({v} AS VARCHAR) END"
 
 
+def _preview(t: str, most: int) -> str:
+    c = f"trim(regexp_replace({t}, '\\s+', ' ', 'g'))"
+    return f"CASE WHEN {c} = '' THEN 'No prompt preview available.' WHEN length({c}) <= {most} THEN {c} ELSE rtrim(left({c}, {most - 1}), ' ') || '…' END"
+
+
+STORY = f"""sto AS (SELECT *, sonnet_pct + haiku_pct AS light, (SELECT hour FROM hr WHERE n > 0 ORDER BY n DESC, hour LIMIT 1) AS ph, (SELECT sum(n) FROM hr) AS answers, (SELECT max(n) FROM hr) AS ph_n FROM rt, gr, mt, sk),
+big AS (SELECT * FROM ses WHERE rank = 1),
+hel AS (SELECT s.*, CASE WHEN f.first_ord IS NOT NULL THEN 'do ' || f.first_ord END AS first_prompt FROM sub s JOIN fl f ON f.file = s.session_id WHERE s.rank = 1),
+hl AS (SELECT unnest([
+ (1, 'Archetype', CASE WHEN opus_pct >= 75 THEN 'Precision Maximalist' WHEN light >= 45 THEN 'Delegation Director' WHEN avg_messages_per_active_day >= 120 THEN 'Flow-State Builder' ELSE 'Balanced Operator' END,
+  CASE WHEN opus_pct >= 75 THEN opus_pct || '% of spend is Opus: few swings, but heavy ones.' WHEN light >= 45 THEN light || '% of spend is on lighter models: work gets routed, not forced.' WHEN avg_messages_per_active_day >= 120 THEN 'A steady stream of messages, momentum first.' ELSE 'Exploring and executing in equal measure.' END),
+ (2, 'Power hour', {HOUR.format(h='ph')}, {percent_sql('ph_n', 'answers')} || '% of answers come around ' || {HOUR.format(h='ph')} || '. ' || CASE WHEN ph < 6 THEN 'Night shift mode.' WHEN ph < 12 THEN 'Morning shipping energy.' WHEN ph < 18 THEN 'Afternoon builder hours.' ELSE 'Evening closer energy.' END),
+ (3, 'Main project', k.name, k.share_pct || '% of output in ' || k.sessions || CASE WHEN k.sessions = 1 THEN ' session' ELSE ' sessions' END),
+ (4, 'Biggest session', {TOKENS_LABEL.format(v='b.total_tokens')}, concat_ws(' · ', CASE WHEN b.project_name <> '' THEN b.project_name END, left(CAST(f.start_at AS VARCHAR), 10), CASE WHEN b.first_prompt IS NOT NULL THEN {_preview('b.first_prompt', 86)} END)),
+ (5, 'Subagent cameo', {TOKENS_LABEL.format(v='h.total_tokens')}, coalesce(h.project_name, 'A project') || ' had help. ' || {_preview("coalesce(h.first_prompt, '')", 92)}),
+ (6, 'Next season', v.title, v.action)]) AS t FROM sto, big b, fl f, hel h, rk k, adv v WHERE f.file = b.file AND k.rank = 1 AND v.n = 1)"""
+
+
+@query("highlights", "SELECT CAST(t[1] AS BIGINT) AS n, t[2] AS eyebrow, t[3] AS title, t[4] AS note FROM hl", more=(FACTS, ADVICE, STORY))
+def highlights(spark, d):
+    r = report.Relations(_act(spark, d))
+    return r.released_with(report.story_facts(r).select(F.posexplode(story.highlights()).alias("n", "h")).select((C("n") + 1).cast("long").alias("n"), "h.*"))
+
+
+# scalar functions
+
+
+
 @query("fmt_currency", f"SELECT o_orderkey, {CURRENCY.format(v='v')} AS label FROM (SELECT o_orderkey, o_totalprice / (CASE WHEN o_orderkey % 3 = 0 THEN 1 WHEN o_orderkey % 3 = 1 THEN 1000 ELSE 100000 END) AS v FROM orders)", plain=True)
 def fmt_currency(spark, d):
     v = C("o_totalprice") / F.when(C("o_orderkey") % 3 == 0, 1).when(C("o_orderkey") % 3 == 1, 1000).otherwise(100000)
@@ -603,12 +635,23 @@ def weekday_of_orders(spark, d):
 # logs
 
 
-@query("jsonl_parse_quality")
+#: The sample tree has a file for each user, a user's events in their order, and before them a summary, a malformed and a blank line.
+LOG = """usr AS (SELECT *, CAST(regexp_extract(file, 's(\\d+)-', 1) AS BIGINT) AS user_id FROM act),
+log AS (SELECT *, '-work-proj--' || (main % 7) || '/user-' || main || CASE WHEN is_subagent THEN '/subagents/user-' || user_id ELSE '' END || '.jsonl' AS path FROM (SELECT *, CASE WHEN is_subagent THEN user_id - 1 ELSE user_id END AS main FROM usr))"""
+
+
+@query("jsonl_parse_quality", "SELECT count(DISTINCT path) AS files, CAST(0 AS BIGINT) AS skipped_files, count(*) + count(DISTINCT path) AS lines, count(DISTINCT path) AS skipped_lines FROM log", more=(LOG,))
 def jsonl_parse_quality(spark, d):
     return logs.quality(logs.parsed_lines(spark, logs.write_sample(spark, d)))
 
 
-@query("jsonl_daily_cost")
+@query(
+    "jsonl_daily_cost",
+    f"""SELECT *, {ratio_sql('cache_read_tokens', 'output_tokens')} AS cache_output_ratio FROM (
+    SELECT dt, {SUMS}, CAST(sum(CASE WHEN cost_units > 0 THEN cost_units ELSE {PRICED} END) AS DOUBLE) / 1e8 AS cost, count(*) AS messages, count(DISTINCT user_id) AS sessions
+    FROM (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY string_split(path, '/'), ord) AS rn FROM log WHERE type = 'assistant') WHERE rn = 1 OR message_id IS NULL GROUP BY dt)""",
+    more=(LOG,),
+)
 def jsonl_daily_cost(spark, d):
     act = logs.activity(logs.parsed_lines(spark, logs.write_sample(spark, d)))
     return en.daily(en.entries(act)).select("dt", *en.TOKENS, usd(C("cost")).alias("cost"), "messages", "sessions", "cache_output_ratio")

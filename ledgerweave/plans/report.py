@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import datetime
-from functools import reduce
+import weakref
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,44 +20,50 @@ TOKEN_NAMES = dict(zip(en.TOKENS, ("inputTokens", "outputTokens", "cacheCreation
 
 
 class Relations:
-    """Everything the report derives from one activity relation. The tables that the rest is made of are kept; the one-row analyses
-    are cheaper to make again than to keep."""
+    """Everything the report derives from one activity relation, each made when it is asked for. The tables that the rest is made of are
+    kept until release(): at any size the log is then read and deduplicated once. The one-row analyses are cheaper to make again than to keep."""
 
     def __init__(self, activity: DataFrame, year: int | None = None):
-        self.year, self.kept = year, []
-        keep = self._keep
-        self.entries = keep(en.entries(activity, year))
-        self.daily_models = keep(en.daily_model(self.entries))
-        self.daily = keep(en.daily(self.entries))
-        rows = se.in_year(activity, year)
-        self.sessions = keep(se.sessions(rows))
-        self.subagents = keep(se.subagents(rows, self.sessions))
-        self.prompts = se.prompts(rows)
-        self.model_totals = se.model_totals(rows)
-        self.projects = en.projects(self.entries)
-        self.ranked = en.ranked_projects(self.projects)
-        self.model_costs = en.model_costs(self.daily_models)
-        self.hours = en.hours(self.entries)
-        self.tools = en.tool_counts(self.entries)
-        self.anomalies = an.anomalies(self.daily)
-        self.inflections = an.inflections(self.daily)
-        self.cost = an.cost_summary(self.daily)
-        self.grade = an.cache_grade(self.daily)
-        self.savings = an.cache_savings(self.daily_models)
-        self.durations = an.duration_stats(self.sessions)
-        self.overlap = an.peak_overlap(self.hours)
-        self.routing = an.model_routing(self.model_costs, self.entries)
-        self.facts = rules.facts(self.cost, self.grade, self.savings, self.anomalies, self.inflections, self.durations, self.overlap, self.routing, self.projects, self.ranked)
-        self.recommendations = rules.recommendations(self.facts)
+        self.activity, self.year, self.kept = activity, year, []
 
     def _keep(self, df: DataFrame) -> DataFrame:
         self.kept.append(df.cache())
-        return self.kept[-1]
+        return df
 
     def release(self) -> None:
         for df in self.kept:
             df.unpersist()
 
+    def released_with(self, df: DataFrame) -> DataFrame:
+        """df; what is kept for it is released when df is no longer used."""
+        weakref.finalize(df, self.release).atexit = False
+        return df
+
+    rows = cached_property(lambda r: se.in_year(r.activity, r.year))
+    entries = cached_property(lambda r: r._keep(en.entries(r.activity, r.year)))
+    daily_models = cached_property(lambda r: r._keep(en.daily_model(r.entries)))
+    daily = cached_property(lambda r: r._keep(en.daily(r.entries)))
+    files = cached_property(lambda r: r._keep(se.files(r.rows)))
+    sessions = cached_property(lambda r: se.sessions(r.files))
+    subagents = cached_property(lambda r: se.subagents(r.files))
+    prompts = cached_property(lambda r: se.prompts(r.rows))
+    model_totals = cached_property(lambda r: se.model_totals(r.rows))
+    projects = cached_property(lambda r: r._keep(en.projects(r.entries)))
+    ranked = cached_property(lambda r: en.ranked_projects(r.projects))
+    model_costs = cached_property(lambda r: en.model_costs(r.daily_models))
+    hours = cached_property(lambda r: r._keep(en.hours(r.entries)))
+    tools = cached_property(lambda r: en.tool_counts(r.entries))
+    anomalies = cached_property(lambda r: an.anomalies(r.daily))
+    inflections = cached_property(lambda r: an.inflections(r.daily))
+    cost = cached_property(lambda r: an.cost_summary(r.daily))
+    grade = cached_property(lambda r: an.cache_grade(r.daily))
+    savings = cached_property(lambda r: an.cache_savings(r.daily_models))
+    durations = cached_property(lambda r: an.duration_stats(r.sessions))
+    overlap = cached_property(lambda r: an.peak_overlap(r.hours))
+    routing = cached_property(lambda r: an.model_routing(r.model_costs, r.entries))
+    facts = cached_property(lambda r: rules.facts(r.cost, r.grade, r.savings, r.anomalies, r.inflections, r.durations, r.overlap, r.routing, r.projects, r.ranked))
+    recommendations = cached_property(lambda r: rules.recommendations(r.facts))
+
 
 def one(df: DataFrame, name: str, *columns) -> DataFrame:
     """The only row of df as a struct; null if there is none."""
@@ -226,7 +233,8 @@ def report(activity: DataFrame, year: int, relations: Relations | None = None) -
     advice = many(r.recommendations, "recommendations", ["n"], "severity", "title", "savings", "action")
     sections = [cost, cache, anomalies, turn, intel, breakdown, routing, projects, advice, wrapped_story(story_facts(r))]
     now = datetime.datetime.now(datetime.timezone.utc).isoformat(timespec="seconds").replace("+00:00", "Z")
-    return reduce(DataFrame.crossJoin, sections).select(F.lit(now).alias("generatedAt"), F.lit(year).alias("year"), "*")
+    out = reduce(DataFrame.crossJoin, sections).select(F.lit(now).alias("generatedAt"), F.lit(year).alias("year"), "*")
+    return out if relations else r.released_with(out)
 
 
 def report_json(activity: DataFrame, year: int) -> DataFrame:

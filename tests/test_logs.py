@@ -144,10 +144,10 @@ def test_both_passes_keep_their_own_rules(spark, tmp_path):
     flat = en.entries(act, 2026)
     # the subagent's file is scanned before its parent's and claims the id; 2025 is a year of its own, by the written offset
     assert sorted(r["input_tokens"] for r in flat.collect()) == [1, 1, 100, 1000]
-    (session,) = se.sessions(se.in_year(act, 2026)).collect()
+    (session,) = se.sessions(se.files(se.in_year(act, 2026))).collect()
     # within the file the row without usage has claimed the id, and with it the cost
     assert (session["total_tokens"], session["cost_units"]) == (2, 0)
-    (aide,) = se.subagents(se.in_year(act, 2026), se.sessions(se.in_year(act, 2026))).collect()
+    (aide,) = se.subagents(se.files(se.in_year(act, 2026))).collect()
     assert aide["total_tokens"] == 100 and aide["parent_session_id"] == "s1"
     act.unpersist()
 
@@ -168,7 +168,7 @@ def test_prompts(spark, tmp_path):
         said("2026-01-01T00:00:00Z", "a", "m", (1, 0, 0, 0)),
     )
     act = logs.read(spark, str(root))
-    (s,) = se.sessions(act).collect()
+    (s,) = se.sessions(se.files(act)).collect()
     assert (s["prompt_count"], s["tool_message_count"], s["first_prompt"]) == (7, 1, "first\n second \nthird\nfourth")
     assert [r["text"] for r in se.prompts(act).orderBy("n").collect()][1:] == ["p0", "p1", "p2", "p3"]
 
