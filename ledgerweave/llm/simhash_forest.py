@@ -123,11 +123,21 @@ def close_pairs(fp: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarr
                     b.append(other[y[first]])
             x, y = close_pairs(fp[rest], limit[rest])
             return np.concatenate([*a, rest[x]]), np.concatenate([*b, rest[y]])
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    rows = max(1, (1 << 20) // max(n, 1))
+    left, right, most = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], int(limit.max(initial=0))
+    rows, half = max(1, min((1 << 20) // max(n, 1), -(-n // 4))), LANES // 2
     for at in range(0, n, rows):
-        x, y = np.nonzero(distances(fp[at : at + rows], fp[at:]) <= np.minimum(limit[at : at + rows][:, None], limit[at:]))
+        a, b = fp[at : at + rows], fp[at:]
+        # half of the bits for all, the others for the few pairs that may still be close
+        d = np.bitwise_count(a[:, None, 0] ^ b[None, :, 0])
+        for q in range(1, half):
+            d += np.bitwise_count(a[:, None, q] ^ b[None, :, q])
+        x, y = np.nonzero(d <= most)
         keep = y > x
+        x, y = x[keep], y[keep]
+        total = d[x, y].astype(np.uint16)
+        for q in range(half, LANES):
+            total += np.bitwise_count(a[x, q] ^ b[y, q])
+        keep = total <= np.minimum(limit[at + x], limit[at + y])
         left.append(at + x[keep])
         right.append(at + y[keep])
     return np.concatenate(left), np.concatenate(right)
@@ -168,11 +178,14 @@ def tree_edges(v: np.ndarray, key: np.ndarray, fp: np.ndarray, limit: np.ndarray
                 b.append(lo + y)
         return local_roots(len(v), np.concatenate(a), np.concatenate(b)) if len(a) > 1 else root
 
-    # long prefixes first
-    for d in (depth + 8, depth + 4):
-        if d < 32:
-            cut = nodes_at(key, d)
-            root = compare([(lo, hi) for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()) if hi - lo <= leaf], root)
+    # long prefixes first: neighbours in the order of the keys
+    near = np.uint32(max(0, 32 - depth - 8))
+    for k in (1, 2):
+        if len(v) > k:
+            apart = sum(np.bitwise_count(fp[k:, q] ^ fp[:-k, q]).astype(np.uint16) for q in range(LANES))
+            x = np.flatnonzero((key[k:] >> near == key[:-k] >> near) & (apart <= np.minimum(limit[k:], limit[:-k])))
+            if len(x):
+                root = local_roots(len(v), np.r_[np.arange(len(v)), x], np.r_[root, x + k])
     # then those at the depth that the recall asks for, or as far up as there are at most `leaf` fingerprints
     last = nodes_at(key, depth)
     final = set(zip(last[:-1].tolist(), last[1:].tolist()))
