@@ -79,12 +79,8 @@ def test_tree_deals_every_block_once(spark, shards, monkeypatch):
     assert sizes.max() - sizes.min() <= shards.bit_length()
 
 
-@pytest.mark.parametrize("sf", ["0.001", "0.01"])
-def test_query_equals_brute_force(spark, sf):
-    """The whole query: quotas, permutation, blocks, shards and order, in memory."""
-    from ledgerweave.llm import queries
-
-    docs = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet")
+def brute(docs):
+    """Shard of every doc_id in the mixture: quotas, permutation, blocks and dealing, in memory."""
     rows = docs.select("doc_id", "source", mixing.keyed_hash(docs, 17).alias("h"), mixing.rest_hash(docs, 17).alias("g")).collect()
     per = {}
     for r in rows:
@@ -99,6 +95,15 @@ def test_query_equals_brute_force(spark, sf):
         n = max(1, len(per[s]) // mixing.BUCKET_ROWS)
         order = sorted(per[s], key=lambda x: ((x[0] >> 32) * n >> 32, x[0] - 2**64 if x[0] >= 2**63 else x[0], x[1]))
         want |= {d: shard[i, k // 16] for k, (_, _, d) in enumerate(order[: quota[s]])}
+    return want, shards
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_query_equals_brute_force(spark, sf):
+    """The whole query: the mixture, its shards and their order."""
+    from ledgerweave.llm import queries
+
+    want, shards = brute(spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet"))
     out = queries.op7_mixing(spark, f"/root/testdata/sf{sf}").collect()
     assert len(out) == len(want) and {r["doc_id"]: r["shard"] for r in out} == want
     assert len(set(want.values())) == shards >= 16
