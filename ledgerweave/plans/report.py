@@ -15,7 +15,10 @@ from ledgerweave.operators import entries as en
 from ledgerweave.operators import rules
 from ledgerweave.operators import sessions as se
 from ledgerweave.operators import story
+from ledgerweave.operators.ranking import global_rank
 
+#: Bytes of sessions in a part of the JSON; a single session may be longer.
+PART = 8 << 20
 TOKEN_NAMES = dict(zip(en.TOKENS, ("inputTokens", "outputTokens", "cacheCreationTokens", "cacheReadTokens")))
 
 
@@ -146,8 +149,25 @@ def wrapped_story(facts: DataFrame) -> DataFrame:
     )
 
 
-def report(activity: DataFrame, year: int, relations: Relations | None = None) -> DataFrame:
-    """One row: generatedAt, year and the analyses as nested columns, named as in the JSON report."""
+def _aide() -> list:
+    c = F.col
+    return [c("session_id").alias("sessionId"), c("timestamp_start").alias("timestampStart"), c("duration_minutes").alias("durationMinutes"), c("total_tokens").alias("totalTokens"), F.struct(*usage()).alias("usage"), c("first_prompt").alias("firstPrompt"), c("project_path").alias("projectPath"), c("project_name").alias("projectName"), c("parent_session_id").alias("parentSessionId")]
+
+
+def session_rows(r: Relations) -> tuple[DataFrame, list]:
+    """One row for each session, with `order`, and the columns of its entry in the report."""
+    c, usd = F.col, an.dollars
+    prompts = r.prompts.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "text", c("ts").alias("timestamp"), "entrypoint"))), lambda x: F.struct(x["text"].alias("text"), x["timestamp"].alias("timestamp"), x["entrypoint"].alias("entrypoint"))).alias("prompts"))
+    totals = r.model_totals.groupBy("file").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("model", F.struct(*usage()))))).alias("modelTotals"))
+    aides = r.subagents.groupBy(c("parent_file").alias("file")).agg(F.transform(F.array_sort(F.collect_list(F.struct(c("file_ord").alias("_o"), F.struct(*_aide()).alias("_v")))), lambda x: x["_v"]).alias("subagents"))
+    whole = r.sessions.join(prompts, "file", "left").join(totals, "file", "left").join(aides, "file", "left")
+    session = [c("session_id").alias("sessionId"), c("project_hash").alias("projectHash"), c("project_path").alias("projectPath"), c("project_name").alias("projectName"), c("timestamp_start").alias("timestampStart"), c("timestamp_end").alias("timestampEnd"), c("duration_minutes").alias("durationMinutes"), F.struct(*usage()).alias("usage"), c("modelTotals"), c("total_tokens").alias("totalTokens"), usd(c("cost_units")).alias("costUsd"), c("prompt_count").alias("promptCount"), c("tool_message_count").alias("toolMessageCount"), c("first_prompt").alias("firstPrompt"), F.coalesce("prompts", F.array()).alias("prompts"), F.coalesce("subagents", F.array()).alias("subagents")]
+    return whole, session
+
+
+def report(activity: DataFrame, year: int, relations: Relations | None = None, listed: bool = True) -> DataFrame:
+    """One row: generatedAt, year and the analyses as nested columns, named as in the JSON report. It grows with the number of
+    sessions, unless `listed` is false; the list of sessions is then left to session_rows()."""
     r = relations or Relations(activity, year)
     c, usd = F.col, an.dollars
     models = r.daily_models.groupBy("dt").agg(F.array_sort(F.collect_list(F.struct(c("model"), usd(c("cost")).alias("cost"), F.struct(c("input_tokens").alias("input"), c("output_tokens").alias("output"), c("cache_read_tokens").alias("cacheRead"), c("cache_creation_tokens").alias("cacheWrite")).alias("tokens")))).alias("models"))
@@ -219,14 +239,12 @@ def report(activity: DataFrame, year: int, relations: Relations | None = None) -
             F.when(live, c("_hours")).otherwise(F.slice("_hours", 1, 0)).alias("hourDistribution"),
         ).alias("sessionIntel")
     )
-    prompts = r.prompts.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "text", c("ts").alias("timestamp"), "entrypoint"))), lambda x: F.struct(x["text"].alias("text"), x["timestamp"].alias("timestamp"), x["entrypoint"].alias("entrypoint"))).alias("prompts"))
-    totals = r.model_totals.groupBy("file").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("model", F.struct(*usage()))))).alias("modelTotals"))
-    aide = [c("session_id").alias("sessionId"), c("timestamp_start").alias("timestampStart"), c("duration_minutes").alias("durationMinutes"), c("total_tokens").alias("totalTokens"), F.struct(*usage()).alias("usage"), c("first_prompt").alias("firstPrompt"), c("project_path").alias("projectPath"), c("project_name").alias("projectName"), c("parent_session_id").alias("parentSessionId")]
-    aides = r.subagents.groupBy(c("parent_file").alias("file")).agg(F.transform(F.array_sort(F.collect_list(F.struct(c("file_ord").alias("_o"), F.struct(*aide).alias("_v")))), lambda x: x["_v"]).alias("subagents"))
-    whole = r.sessions.join(prompts, "file", "left").join(totals, "file", "left").join(aides, "file", "left")
-    session = [c("session_id").alias("sessionId"), c("project_hash").alias("projectHash"), c("project_path").alias("projectPath"), c("project_name").alias("projectName"), c("timestamp_start").alias("timestampStart"), c("timestamp_end").alias("timestampEnd"), c("duration_minutes").alias("durationMinutes"), F.struct(*usage()).alias("usage"), c("modelTotals"), c("total_tokens").alias("totalTokens"), usd(c("cost_units")).alias("costUsd"), c("prompt_count").alias("promptCount"), c("tool_message_count").alias("toolMessageCount"), c("first_prompt").alias("firstPrompt"), F.coalesce("prompts", F.array()).alias("prompts"), F.coalesce("subagents", F.array()).alias("subagents")]
-    breakdown = many(whole, "_s", ["order"], *session).crossJoin(many(r.subagents.orderBy("order").limit(20), "_top", ["order"], *aide)).crossJoin(r.subagents.agg(F.count(F.lit(1)).alias("_n"), F.coalesce(F.sum("total_tokens"), F.lit(0)).alias("_t")))
-    breakdown = breakdown.select(F.struct(c("_s").alias("sessions"), c("_top").alias("costlySubagents"), c("_n").alias("totalSubagentSessions"), c("_t").alias("totalSubagentTokens")).alias("sessionBreakdown"))
+    breakdown = many(r.subagents.orderBy("order").limit(20), "_top", ["order"], *_aide()).crossJoin(r.subagents.agg(F.count(F.lit(1)).alias("_n"), F.coalesce(F.sum("total_tokens"), F.lit(0)).alias("_t")))
+    around = [c("_top").alias("costlySubagents"), c("_n").alias("totalSubagentSessions"), c("_t").alias("totalSubagentTokens")]
+    if listed:
+        whole, session = session_rows(r)
+        breakdown, around = many(whole, "_s", ["order"], *session).crossJoin(breakdown), [c("_s").alias("sessions"), *around]
+    breakdown = breakdown.select(F.struct(*around).alias("sessionBreakdown"))
     tiers = an.tier_costs(r.model_costs).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tier", usd(c("cost")))))).alias("_tiers"))
     routing = r.routing.crossJoin(tiers).crossJoin(busiest).select(F.struct("available", c("opus_pct").alias("opusPct"), c("sonnet_pct").alias("sonnetPct"), c("haiku_pct").alias("haikuPct"), c("estimated_savings").alias("estimatedSavings"), c("subagent_pct").alias("subagentPct"), c("diversity_score").alias("diversityScore"), c("_tiers").alias("tierCosts"), c("total_cost").alias("totalCost"), "busiestHour").alias("modelRouting"))
     projects = many(r.projects, "projectBreakdown", [-c("output_tokens"), c("hash")], "hash", "path", "name", *usage(), c("messages").alias("messageCount"), c("sessions").alias("sessionCount"), c("subagent_sessions").alias("subagentSessionCount"), c("first_seen").alias("firstSeen"), c("last_seen").alias("lastSeen"))
@@ -237,6 +255,29 @@ def report(activity: DataFrame, year: int, relations: Relations | None = None) -
     return out if relations else r.released_with(out)
 
 
-def report_json(activity: DataFrame, year: int) -> DataFrame:
-    full = report(activity, year)
-    return full.select(F.to_json(F.struct(*full.columns), {"ignoreNullFields": "false"}).alias("json"))
+def report_json(activity: DataFrame, year: int, part: int = PART) -> DataFrame:
+    """(json, part): the report as JSON, in parts from 0 that make one text when they are joined in their order. Up to `part` bytes of
+    sessions are one row; beyond that the sessions, whose list grows with the log, are spread over as many rows as they need."""
+    r, c = Relations(activity, year), F.col
+
+    def text(x):
+        return F.to_json(x, {"ignoreNullFields": "false"})
+
+    full = report(activity, year, r, listed=False)
+    k = full.columns.index("sessionBreakdown")
+    before, after = text(F.struct(*full.columns[:k])), text(F.struct(*full.columns[k + 1 :]))
+    frame = full.select(
+        F.concat(F.left(before, F.length(before) - 1), F.lit(',"sessionBreakdown":{"sessions":[')).alias("_head"),
+        F.concat(F.lit("],"), F.substring(text(c("sessionBreakdown")), 2, 1 << 30), F.lit(","), F.substring(after, 2, 1 << 30)).alias("_tail"),
+    )
+    whole, session = session_rows(r)
+    ranked = global_rank(whole.select("order", text(F.struct(*session)).alias("_text")).withColumn("_size", F.octet_length("_text")), "order")
+    n, longest = ranked.agg(F.count(F.lit(1)), F.max("_size")).first()
+    each = max(part // (longest + 1), 1) if n else 1
+    parts = max(-(-n // each), 1)
+    # a partition for each part: by the size of their compressed rows too many parts would come to one task
+    lists = ranked.select(F.floor((c("rank") - 1) / each).alias("part"), "rank", "_text").repartition(parts, "part").groupBy("part").agg(F.array_sort(F.collect_list(F.struct("rank", "_text"))).alias("_list"))
+    texts = lists.select("part", F.array_join(F.col("_list._text"), ",").alias("_texts"))
+    every = activity.sparkSession.range(parts).withColumnRenamed("id", "part").join(texts, "part", "left").crossJoin(F.broadcast(frame))
+    json = F.concat(F.when(c("part") == 0, c("_head")).otherwise(","), F.coalesce("_texts", F.lit("")), F.when(c("part") == parts - 1, c("_tail")).otherwise(""))
+    return r.released_with(every.select(json.alias("json"), "part"))

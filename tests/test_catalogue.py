@@ -38,6 +38,28 @@ def test_report_json_holds_what_the_queries_give(spark):
     assert r["sessionIntel"]["hourDistribution"] == [x["n"] for x in q["hour_histogram"](spark, SF).orderBy("hour").collect()]
 
 
+def test_report_json_in_parts_is_the_same_text(spark):
+    """No row of the report grows with the number of sessions, and the parts make the JSON of the report's row."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    from ledgerweave.plans import report
+    from ledgerweave.sources import tables
+
+    def undated(text):
+        return re.sub('"generatedAt":"[^"]*"', "", text)
+
+    act = tables.activity(spark, SF)
+    for some in (act, act.where("false")):
+        whole = report.report(some, 2024)
+        text = undated(whole.select(F.to_json(F.struct(*whole.columns), {"ignoreNullFields": "false"})).first()[0])
+        rows = sorted(report.report_json(some, 2024, part=50_000).collect(), key=lambda r: r["part"])
+        assert [r["part"] for r in rows] == list(range(len(rows))) and undated("".join(r["json"] for r in rows)) == text
+        assert all(len(r["json"]) <= 50_000 for r in rows[1:-1])
+        assert len(rows) > 2 if len(text) > 200_000 else len(rows) == 1
+
+
 def test_what_a_query_keeps_is_released_with_it(spark):
     import gc
 
