@@ -31,12 +31,21 @@ RECORD = T.StructType(
         T.StructField("_corrupt", T.StringType()),
     ]
 )
+#: What from_json gives as the text of a number, a boolean, an object or an array; a text may look like that, too.
+NO_TEXT = r"^([{\[]|true$|false$|[-+]?[0-9.]+([eE][-+]?[0-9]+)?$|[-+]?(NaN|INF|Infinity)$)"
 TEXT_FIELDS = ("$.type", "$.timestamp", "$.sessionId", "$.cwd", "$.entrypoint", "$.message.id", "$.message.model")
 
 
 def files(spark: SparkSession, root: str) -> DataFrame:
     """(parts, value): the path below root in parts, and the content, of each .jsonl file that lies in a folder of root."""
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(root, wholetext=True)
+    # folders are listed by jobs of as many tasks as folders, up to this setting: its default of 10,000 is all overhead here
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    tasks = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(tasks), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(root).withColumn("value", F.col("content").cast("string"))
+    finally:
+        spark.conf.set(key, tasks)
     at = spark._jvm.org.apache.hadoop.fs.Path(root)
     base = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(at).toUri().getPath().rstrip("/") + "/"
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
@@ -47,20 +56,22 @@ def files(spark: SparkSession, root: str) -> DataFrame:
 def parsed_lines(spark: SparkSession, root: str) -> DataFrame:
     """A row for each line that isn't blank: parts, line, ok (a record), broken (meant as JSON, but no record), and the
     record r and its variant v; and one row with ok null for a file that isn't UTF-8."""
-    every = files(spark, root)
-    valid = F.is_valid_utf8("value")
-    good = every.where(valid).select("parts", F.posexplode(F.split("value", "\n")).alias("line", "text")).withColumn("text", F.regexp_replace("text", "\r$", "")).where(F.trim(F.translate("text", "\t\r\f\v", "    ")) != "")
-    bad = every.where(~valid).select("parts", F.lit(-1).alias("line"), F.lit(None).cast("string").alias("text"))
-    rows = good.union(bad).withColumns({"r": F.from_json("text", RECORD, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}), "v": F.expr("try_parse_json(text)")})
+    text = F.when(F.is_valid_utf8("value"), F.split("value", "\n")).otherwise(F.array(F.lit(None).cast("string")))
+    rows = files(spark, root).select("parts", F.posexplode(text).alias("line", "text")).withColumns({"line": F.when(F.col("text").isNull(), -1).otherwise(F.col("line")), "text": F.when(F.col("text").contains("\r"), F.regexp_replace("text", "\r$", "")).otherwise(F.col("text"))})
+    rows = rows.where(F.col("text").isNull() | F.col("text").startswith("{") | F.col("text").rlike(r"[^ \t\r\f\x0B]"))
+    parsed = F.struct(F.from_json("text", RECORD, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r"), F.expr("try_parse_json(text)").alias("v"))
+    # as a generator's output: conditions on columns are pushed below them, with a parse for each time that they name r or v
+    rows = rows.select("*", F.inline(F.array(parsed)))
 
     def kind(path: str):
         return F.expr(f"coalesce(schema_of_variant(try_variant_get(v, '{path}', 'variant')), 'VOID')")
 
     typed = F.lit(True)
     for path in TEXT_FIELDS:
-        typed = typed & kind(path).isin("STRING", "VOID")
+        # looking into the variant costs more than both parsers, so that it's asked only where the record leaves the type open
+        typed = typed & (~F.coalesce(F.col(f"r{path[1:]}").rlike(NO_TEXT), F.lit(False)) | kind(path).isin("STRING", "VOID"))
     side = F.expr("try_variant_get(v, '$.isSidechain', 'variant')")
-    typed = typed & (side.isNull() | (kind("$.isSidechain") == "BOOLEAN"))
+    typed = typed & (F.col("r.isSidechain").isNotNull() | side.isNull() | (kind("$.isSidechain") == "BOOLEAN"))
     for c in COUNTS:
         typed = typed & (F.coalesce(F.col(f"r.message.usage.{c}"), F.lit(0)) >= 0)
     whole = F.rtrim(F.col("text")).endswith("}") & F.ltrim(F.col("text")).startswith("{")
@@ -134,6 +145,8 @@ def read(spark: SparkSession, root: str) -> DataFrame:
 def write_sample(spark: SparkSession, sf_dir: str) -> str:
     """All events as a tree of JSONL files, one for each user, every fifth user as a subagent of the user before; returns its root."""
     import json
+    from itertools import groupby
+    from operator import itemgetter
 
     import pyarrow as pa
     import pyarrow.fs as pafs
@@ -152,16 +165,20 @@ def write_sample(spark: SparkSession, sf_dir: str) -> str:
 
     def write(batches):
         fs, base = pafs.FileSystem.from_uri(root)
-        now, out = None, None
+        now, out, made = None, None, set()
         for batch in batches:
-            for p, line in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+            for p, own in groupby(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()), itemgetter(0)):
+                text = "".join(line + "\n" for _, line in own)
                 if p != now:
                     if out:
                         out.close()
-                    fs.create_dir(f"{base}/{p.rpartition('/')[0]}")
+                    folder = p.rpartition("/")[0]
+                    if folder not in made:
+                        fs.create_dir(f"{base}/{folder}")
+                        made.add(folder)
                     now, out = p, fs.open_output_stream(f"{base}/{p}")
-                    out.write((json.dumps({"type": "summary"}) + "\n{not json\n\n").encode())
-                out.write((line + "\n").encode())
+                    text = json.dumps({"type": "summary"}) + "\n{not json\n\n" + text
+                out.write(text.encode())
         if out:
             out.close()
         yield pa.RecordBatch.from_arrays([pa.array([], pa.int32())], names=["n"])

@@ -133,6 +133,28 @@ def test_lines_that_are_no_records(spark, tmp_path):
     assert (q["files"], q["skipped_files"], q["lines"], q["skipped_lines"]) == (2, 1, 2, len(bad))
 
 
+def test_texts_that_look_like_other_values(spark, tmp_path):
+    root = tmp_path / "p"
+    fields = ("type", "timestamp", "sessionId", "cwd", "entrypoint")
+    texts = ["5", "-1.5e3", "true", "false", "{x", '{"a": 1}', "[1]", "NaN", "Infinity", "", "null", "2026", "5\n6"]
+    values = [5, -1.5e3, True, False, {"a": 1}, [1], 0, 12345678901234567890]
+
+    def lines(each):
+        return [json.dumps(x) for v in each for x in (*({f: v} for f in fields), {"message": {"id": v}}, {"message": {"model": v}})]
+
+    put(root, "one/texts.jsonl", *lines(texts), *lines([None]), *('{"cwd": "a"}' + end for end in ("\r", "\r\r")))
+    put(root, "one/values.jsonl", *lines(values), *('{"isSidechain": %s}' % v for v in ("null", "5", '""', '"true"', "{}")), "\t\r", " \f\v")
+    got = {r["name"]: (r["good"], r["bad"]) for r in logs.parsed_lines(spark, str(root)).groupBy(F.get("parts", 1).alias("name")).agg(F.count_if("ok").alias("good"), F.count_if("broken").alias("bad")).collect()}
+    assert got == {"texts.jsonl": (7 * (len(texts) + 1) + 2, 0), "values.jsonl": (0, 7 * len(values) + 5)}
+
+
+def test_a_line_is_read_and_parsed_once(spark, tree):
+    parsed = logs.parsed_lines(spark, str(tree))
+    for df in (en.daily(en.entries(logs.activity(parsed))), logs.quality(parsed)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json(") == plan.count("parseJson(") == plan.count("Relation [") == 1
+
+
 def test_both_passes_keep_their_own_rules(spark, tmp_path):
     root = tmp_path / "p"
     no_usage = line("assistant", "2026-01-02T00:00:00Z", message={"id": "x"})
