@@ -33,6 +33,8 @@ RECORD = T.StructType(
 )
 #: What from_json gives as the text of a number, a boolean, an object or an array; a text may look like that, too.
 NO_TEXT = r"^([{\[]|true$|false$|[-+]?[0-9.]+([eE][-+]?[0-9]+)?$|[-+]?(NaN|INF|Infinity)$)"
+#: What a task reads, if files are smaller.
+TASK_BYTES = 16 << 20
 TEXT_FIELDS = ("$.type", "$.timestamp", "$.sessionId", "$.cwd", "$.entrypoint", "$.message.id", "$.message.model")
 
 
@@ -43,21 +45,24 @@ def files(spark: SparkSession, root: str) -> DataFrame:
     tasks = spark.conf.get(key)
     spark.conf.set(key, str(min(int(tasks), 4 * spark.sparkContext.defaultParallelism)))
     try:
-        raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(root).withColumn("value", F.col("content").cast("string"))
+        raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(root)
     finally:
         spark.conf.set(key, tasks)
+    # small files are planned as 4 MB each, which makes a task of every 32; here a task has 16 MB, if that gives work to all cores
+    size = int(raw._jdf.queryExecution().analyzed().stats().sizeInBytes())
+    most = max(4 * spark.sparkContext.defaultParallelism, size // TASK_BYTES + 1)
     at = spark._jvm.org.apache.hadoop.fs.Path(root)
     base = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(at).toUri().getPath().rstrip("/") + "/"
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     rel = F.expr("substr(p, locate(b, p) + length(b))")
-    return raw.select("value", path.alias("p"), F.lit(base).alias("b")).select(F.split(rel, "/").alias("parts"), "value").where(F.size("parts") >= 2)
+    return raw.select(F.col("content").cast("string").alias("value"), path.alias("p"), F.lit(base).alias("b")).coalesce(most).select(F.split(rel, "/").alias("parts"), "value").where(F.size("parts") >= 2)
 
 
 def parsed_lines(spark: SparkSession, root: str) -> DataFrame:
-    """A row for each line that isn't blank: parts, line, ok (a record), broken (meant as JSON, but no record), and the
-    record r and its variant v; and one row with ok null for a file that isn't UTF-8."""
+    """A row for each line that isn't blank: file_no (a number for each file), parts, line, ok (a record), broken (meant as JSON,
+    but no record), and the record r and its variant v; and one row with ok null for a file that isn't UTF-8."""
     text = F.when(F.is_valid_utf8("value"), F.split("value", "\n")).otherwise(F.array(F.lit(None).cast("string")))
-    rows = files(spark, root).select("parts", F.posexplode(text).alias("line", "text")).withColumns({"line": F.when(F.col("text").isNull(), -1).otherwise(F.col("line")), "text": F.when(F.col("text").contains("\r"), F.regexp_replace("text", "\r$", "")).otherwise(F.col("text"))})
+    rows = files(spark, root).withColumn("file_no", F.monotonically_increasing_id()).select("file_no", "parts", F.posexplode(text).alias("line", "text")).withColumns({"line": F.when(F.col("text").isNull(), -1).otherwise(F.col("line")), "text": F.when(F.col("text").contains("\r"), F.regexp_replace("text", "\r$", "")).otherwise(F.col("text"))})
     rows = rows.where(F.col("text").isNull() | F.col("text").startswith("{") | F.col("text").rlike(r"[^ \t\r\f\x0B]"))
     parsed = F.struct(F.from_json("text", RECORD, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r"), F.expr("try_parse_json(text)").alias("v"))
     # as a generator's output: conditions on columns are pushed below them, with a parse for each time that they name r or v
@@ -82,7 +87,7 @@ def parsed_lines(spark: SparkSession, root: str) -> DataFrame:
 
 def quality(lines: DataFrame) -> DataFrame:
     """(files, skipped_files, lines, skipped_lines)."""
-    return lines.agg(F.countDistinct("parts").alias("files"), F.count_if(F.col("ok").isNull()).alias("skipped_files"), F.count_if("ok").alias("lines"), F.count_if("broken").alias("skipped_lines"))
+    return lines.agg(F.countDistinct("file_no").alias("files"), F.count_if(F.col("ok").isNull()).alias("skipped_files"), F.count_if("ok").alias("lines"), F.count_if("broken").alias("skipped_lines"))
 
 
 def activity(lines: DataFrame) -> DataFrame:
@@ -145,30 +150,33 @@ def read(spark: SparkSession, root: str) -> DataFrame:
 def write_sample(spark: SparkSession, sf_dir: str) -> str:
     """All events as a tree of JSONL files, one for each user, every fifth user as a subagent of the user before; returns its root."""
     import json
-    from itertools import groupby
-    from operator import itemgetter
 
     import pyarrow as pa
+    import pyarrow.compute as pc
     import pyarrow.fs as pafs
 
-    from ledgerweave.sources.tables import activity as from_events
+    from ledgerweave.sources.tables import of_events
 
     root = new_folder(spark, "logs")
-    act = from_events(spark, sf_dir).withColumn("user", F.regexp_extract("file", r"s(\d+)-", 1).cast("long"))
+    # the events are shuffled and sorted, as their lines are several times as long; a user is a file
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").repartition(4 * spark.sparkContext.defaultParallelism, "user_id").sortWithinPartitions("user_id", "event_id")
+    act = of_events(events).withColumn("user", F.regexp_extract("file", r"s(\d+)-", 1).cast("long"))
     main = F.when(F.col("is_subagent"), F.col("user") - 1).otherwise(F.col("user"))
     path = F.concat(F.lit("-work-proj--"), main % 7, F.lit("/user-"), main, F.when(F.col("is_subagent"), F.concat(F.lit("/subagents/user-"), F.col("user"))).otherwise(""), F.lit(".jsonl"))
     usage = F.struct("input_tokens", "output_tokens", F.col("cache_creation_tokens").alias("cache_creation_input_tokens"), F.col("cache_read_tokens").alias("cache_read_input_tokens"))
     content = F.when(F.col("type") == "assistant", F.array(F.struct(F.lit("tool_use").alias("type"), F.get("tools", 0).alias("name"), F.lit(None).cast("string").alias("text")))).when(F.col("is_tool_result"), F.array(F.struct(F.lit("tool_result").alias("type"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("text")))).otherwise(F.array(F.struct(F.lit("text").alias("type"), F.lit(None).cast("string").alias("name"), F.col("text"))))
     message = F.struct(F.when(F.col("type") == "assistant", F.col("message_id")).alias("id"), "model", F.when(F.col("type") == "assistant", usage).alias("usage"), content.alias("content"))
     record = F.struct("type", F.col("is_sidechain").alias("isSidechain"), F.date_format(F.col("moment").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), "cwd", (F.col("cost_units") / UNIT).alias("costUSD"), message.alias("message"))
-    lines = act.select(path.alias("path"), "ord", F.to_json(record).alias("line")).repartition("path").sortWithinPartitions("path", "ord")
+    lines = act.select(path.alias("path"), F.concat(F.to_json(record), F.lit("\n")).alias("line"))
 
     def write(batches):
         fs, base = pafs.FileSystem.from_uri(root)
         now, out, made = None, None, set()
         for batch in batches:
-            for p, own in groupby(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()), itemgetter(0)):
-                text = "".join(line + "\n" for _, line in own)
+            runs, lines = pc.run_end_encode(batch.column(0)), batch.column(1)
+            offsets, data = memoryview(lines.buffers()[1]).cast("i"), memoryview(lines.buffers()[2])
+            begin = 0
+            for p, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
                 if p != now:
                     if out:
                         out.close()
@@ -177,8 +185,9 @@ def write_sample(spark: SparkSession, sf_dir: str) -> str:
                         fs.create_dir(f"{base}/{folder}")
                         made.add(folder)
                     now, out = p, fs.open_output_stream(f"{base}/{p}")
-                    text = json.dumps({"type": "summary"}) + "\n{not json\n\n" + text
-                out.write(text.encode())
+                    out.write((json.dumps({"type": "summary"}) + "\n{not json\n\n").encode())
+                out.write(data[offsets[lines.offset + begin] : offsets[lines.offset + end]])
+                begin = end
         if out:
             out.close()
         yield pa.RecordBatch.from_arrays([pa.array([], pa.int32())], names=["n"])

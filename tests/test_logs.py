@@ -155,6 +155,40 @@ def test_a_line_is_read_and_parsed_once(spark, tree):
         assert plan.count("from_json(") == plan.count("parseJson(") == plan.count("Relation [") == 1
 
 
+def test_small_files_are_read_by_few_tasks_and_counted_by_number(spark, tmp_path):
+    root = tmp_path / "p"
+    for k in range(1000):
+        put(root, f"proj-{k % 3}/s{k}.jsonl", line("user", "2026-01-01T00:00:00Z"), "{no")
+    assert logs.files(spark, str(root)).rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    df = logs.quality(logs.parsed_lines(spark, str(root)))
+    assert "distinct file_no" in df._jdf.queryExecution().optimizedPlan().toString()
+    assert tuple(df.first()) == (1000, 0, 1000, 1000)
+
+
+def test_sample_holds_each_event_once_in_its_order(spark):
+    """Also where a file's lines come in several batches."""
+    from pathlib import Path
+
+    from ledgerweave.sources import tables
+
+    sf, key = "/root/testdata/sf0.001", "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "3")
+    try:
+        root = Path(logs.write_sample(spark, sf).removeprefix("file://"))
+    finally:
+        spark.conf.set(key, before)
+    want = {}
+    for r in tables.activity(spark, sf).orderBy("ord").collect():
+        user = int(r["file"].split("-")[0][1:])
+        main = user - r["is_subagent"]
+        want.setdefault(f"-work-proj--{main % 7}/user-{main}" + f"/subagents/user-{user}" * r["is_subagent"] + ".jsonl", []).append((r["type"], r["moment"].strftime("%Y-%m-%dT%H:%M:%SZ")))
+    assert want.keys() == {str(p.relative_to(root)) for p in root.rglob("*.jsonl")}
+    for p, records in want.items():
+        summary, broken, blank, *rest = (root / p).read_text().splitlines()
+        assert (summary, broken, blank) == ('{"type": "summary"}', "{not json", "") and [(x["type"], x["timestamp"]) for x in map(json.loads, rest)] == records
+
+
 def test_both_passes_keep_their_own_rules(spark, tmp_path):
     root = tmp_path / "p"
     no_usage = line("assistant", "2026-01-02T00:00:00Z", message={"id": "x"})
